@@ -148,7 +148,7 @@ def fit_features(
     ]
     orders = []
     for n in params.orders:
-        block = sorted((row for row in learned if row.n == n), key=lambda row: row.index)
+        block = sorted((row for row in learned if row.n == n), key=lambda row: row["index"])
         if not block:
             continue
         orders.append(n)

@@ -29,9 +29,10 @@ def term_statistics(df: DataFrame, tokens: str, orders: list[int]) -> DataFrame:
                 F.lit(n).alias("n"), F.lit(False).alias("every"), F.array_distinct(grams).alias("terms")
             )
         )
+    # Top-level columns, so that exploding a bag does not carry the bag along with each term.
     rows = (
-        df.select(F.explode(F.array(*bags)).alias("bag"))
-        .select("bag.n", "bag.every", F.explode_outer("bag.terms").alias("term"))
+        df.select(F.inline(F.array(*bags)))
+        .select("n", "every", F.explode_outer("terms").alias("term"))
         .filter(F.col("term").isNotNull())
     )
     every = F.col("every")

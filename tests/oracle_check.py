@@ -50,10 +50,15 @@ KINDS = {
 }
 
 
+SECONDS: dict[str, float] = {}
+
+
 def compare(spark, connection, sf_dir, name, run, sql) -> str | None:
     """None when both engines agree, else what differs."""
     df = run(spark, sf_dir)
+    start = time.time()
     got = [tuple(r) for r in df.collect()]
+    SECONDS[name] = time.time() - start
     relation = connection.sql(sql)
     want = relation.fetchall()
     want_types = dict(zip(relation.columns, (str(t) for t in relation.types)))
@@ -94,7 +99,7 @@ def main() -> None:
         except Exception as error:  # report and go on with the next query
             verdict = f"ERROR {str(error)[:600]}"
         failed += verdict.startswith(("DIFF", "ERROR"))
-        print(f"{name:32s} {time.time() - start:6.1f}s {verdict}", flush=True)
+        print(f"{name:32s} {time.time() - start:6.1f}s (collect {SECONDS.get(name, 0):.1f}s) {verdict}", flush=True)
     print("failed:", failed)
 
 
