@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 from multiprocessing.pool import ThreadPool
 
@@ -45,6 +46,9 @@ class TrainParams:
     rf_subsample: float = 0.8
     seed: int = 42
     parallel_fits: int = 4
+    # Gradient steps do little work per row, trees and counts much more.
+    rows_per_step_task: int = 10_000
+    rows_per_task: int = 500
 
 
 @dataclass
@@ -108,10 +112,10 @@ def _summary(family: str, model, params: TrainParams) -> dict[str, float]:
     return {"numTrees": float(params.rf_trees), "maxDepth": float(params.rf_depth)}
 
 
-def one_class_labels(train: DataFrame, labels: list[str]) -> dict[str, float]:
-    """Labels with a single class in ``train``, with that class; one job for all labels."""
+def class_bounds(train: DataFrame, labels: list[str]) -> tuple[int, dict[str, float]]:
+    """Number of rows, and the labels with a single class; one narrow job for all labels."""
     bounds = [x for c in labels for x in (F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}"))]
-    row = train.agg(*bounds).first()
+    row = train.agg(F.count(F.lit(1)).alias("rows"), *bounds).first()
     found = {}
     for c in labels:
         low, high = row[f"lo_{c}"], row[f"hi_{c}"]
@@ -119,17 +123,25 @@ def one_class_labels(train: DataFrame, labels: list[str]) -> dict[str, float]:
             raise ValueError(f"no training rows for label {c!r}")
         if low == high:
             found[c] = float(low)
-    return found
+    return row["rows"], found
 
 
 def fit_family(
     train: DataFrame, labels: list[str], family: str, params: TrainParams = TrainParams()
 ) -> LabelModels:
-    """Fit one model per label, several labels at a time over the same cached rows."""
+    """Fit one model per label, several labels at a time over the same cached rows.
+
+    An iterative fit runs a job per step, so a small input is packed into few partitions first
+    (``coalesce`` never adds any and moves nothing over the network).
+    """
     check_family(family)
-    rows = train.select(input_column(family), *labels).persist(StorageLevel.MEMORY_AND_DISK)
+    total, constants = class_bounds(train.select(*labels), labels)
+    stepwise = family in ("logistic_regression", "linear_svm")
+    per_task = params.rows_per_step_task if stepwise else params.rows_per_task
+    packed = max(1, math.ceil(total / per_task))
+    rows = train.select(input_column(family), *labels).coalesce(packed)
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        constants = one_class_labels(rows, labels)
         open_labels = [c for c in labels if c not in constants]
 
         def fit(label: str):
@@ -193,10 +205,8 @@ def score_rows(df: DataFrame, models: LabelModels, keep: tuple[str, ...] = ("exa
 
 
 def save_models(models: LabelModels, path: str) -> None:
-    """``path/<label>`` per fitted model; constants in ``path/_constants``."""
-    from pyspark.sql import SparkSession as Session
-
-    spark = Session.active()
+    """``path/labels/<label>`` per fitted model; label order and constants in ``path/index``."""
+    spark = SparkSession.active()
     for label, model in models.models.items():
         model.write().overwrite().save(f"{path}/labels/{label}")
     rows = [
