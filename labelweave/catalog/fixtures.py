@@ -153,5 +153,5 @@ def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = docs.join(marks, "example_id").withColumn(
         "primary_label", primary_label(["quality", "toxic"])
     )
-    examples = settle(joined, "examples")
+    examples = spread_narrow_scan(settle(joined, "examples"), "example_id")
     return stratified_split(examples, "example_id", "primary_label").drop("primary_label")

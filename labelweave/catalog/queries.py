@@ -42,7 +42,7 @@ QUALITY_LABELS = ["quality", "toxic"]
 
 
 def query(run: Query) -> Query:
-    REGISTRY[run.__name__] = run
+    REGISTRY[run.__name__.removesuffix("_query")] = run
     return run
 
 
@@ -267,7 +267,6 @@ def tfidf_long(spark: SparkSession, sf: str) -> DataFrame:
 
 def _fitted(spark: SparkSession, sf: str) -> tuple[DataFrame, FeatureModel]:
     examples = fx.labelled_documents(spark, sf)
-    examples = split.spread_narrow_scan(examples, "example_id")
     model = fit_features(
         examples.filter(F.col("split") == "train"),
         fx.emotion_lexicon(spark, sf),
@@ -278,14 +277,11 @@ def _fitted(spark: SparkSession, sf: str) -> tuple[DataFrame, FeatureModel]:
 
 
 @query
-def feature_dims_by_block(spark: SparkSession, sf: str) -> DataFrame:
+def feature_dims_query(spark: SparkSession, sf: str) -> DataFrame:
     examples, model = _fitted(spark, sf)
     return feature_dims(model, model.transform(examples))
 
 
-REGISTRY["feature_dims"] = REGISTRY.pop("feature_dims_by_block")
-
-
 @query
 def feature_table(spark: SparkSession, sf: str) -> DataFrame:
     examples, model = _fitted(spark, sf)
@@ -301,7 +297,7 @@ def feature_table(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query
-def clip_negative_features(spark: SparkSession, sf: str) -> DataFrame:
+def clip_non_negative_query(spark: SparkSession, sf: str) -> DataFrame:
     measured = lexicon.lexicon_measures(
         _token_table(spark, sf), fx.emotion_lexicon(spark, sf), "doc_id", "tokens", TAXONOMY.emotions
     )
@@ -312,9 +308,6 @@ def clip_negative_features(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-REGISTRY["clip_non_negative"] = REGISTRY.pop("clip_negative_features")
-
-
 @query
 def naive_bayes_parameters(spark: SparkSession, sf: str) -> DataFrame:
     examples = with_tokens(fx.labelled_documents(spark, sf))
@@ -366,7 +359,8 @@ def majority_vote(spark: SparkSession, sf: str) -> DataFrame:
 
 def _with_votes(spark: SparkSession, sf: str) -> DataFrame:
     base = settle(fx.scores(spark, sf), "scores")
-    return base.unionByName(scores.majority_vote(base, BASE_MODELS))
+    votes = settle(scores.majority_vote(base, BASE_MODELS), "votes")
+    return base.unionByName(votes)
 
 
 def _validation(every: DataFrame) -> DataFrame:
@@ -553,7 +547,7 @@ def resume_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query
-def scored_texts(spark: SparkSession, sf: str) -> DataFrame:
+def score_table_query(spark: SparkSession, sf: str) -> DataFrame:
     out = scratch_path(spark, "run")
     _workflow(spark, sf, out)
     bundle = ScoringBundle.load(spark, out)
@@ -565,6 +559,3 @@ def scored_texts(spark: SparkSession, sf: str) -> DataFrame:
         F.array_join("top_labels", ",").alias("top_labels"),
         "story",
     )
-
-
-REGISTRY["score_table"] = REGISTRY.pop("scored_texts")

@@ -204,29 +204,31 @@ def score_rows(df: DataFrame, models: LabelModels, keep: tuple[str, ...] = ("exa
     )
 
 
+INDEX_SCHEMA = "label_pos int, label string, constant double, summary map<string, double>"
+
+
 def save_models(models: LabelModels, path: str) -> None:
-    """``path/labels/<label>`` per fitted model; label order and constants in ``path/index``."""
+    """``path/labels/<label>`` per fitted model; label order, constants and summaries in ``path/index``."""
     spark = SparkSession.active()
     for label, model in models.models.items():
         model.write().overwrite().save(f"{path}/labels/{label}")
     rows = [
-        (i, label, models.constants.get(label)) for i, label in enumerate(models.labels)
+        (i, label, models.constants.get(label), models.summaries.get(label, {}))
+        for i, label in enumerate(models.labels)
     ]
-    spark.createDataFrame(rows, "label_pos int, label string, constant double").coalesce(
-        1
-    ).write.mode("overwrite").json(f"{path}/index")
+    spark.createDataFrame(rows, INDEX_SCHEMA).coalesce(1).write.mode("overwrite").json(f"{path}/index")
 
 
 def load_models(spark: SparkSession, path: str, family: str) -> LabelModels:
     check_family(family)
-    index = spark.read.schema("label_pos int, label string, constant double").json(f"{path}/index")
-    rows = index.orderBy("label_pos").collect()
+    rows = spark.read.schema(INDEX_SCHEMA).json(f"{path}/index").orderBy("label_pos").collect()
     constants = {r.label: r.constant for r in rows if r.constant is not None}
     loader = MODEL_CLASSES[family]
     models = {
         r.label: loader.load(f"{path}/labels/{r.label}") for r in rows if r.label not in constants
     }
-    return LabelModels(family, [r.label for r in rows], models, constants)
+    summaries = {r.label: r.summary for r in rows if r.label in models}
+    return LabelModels(family, [r.label for r in rows], models, constants, summaries)
 
 
 def naive_bayes_parameters(

@@ -42,13 +42,26 @@ def term_statistics(df: DataFrame, tokens: str, orders: list[int]) -> DataFrame:
     )
 
 
-def top_terms(statistics: DataFrame, n: int, max_vocab: int, min_df: int) -> DataFrame:
+def occurrence_cuts(counted: DataFrame, max_vocab: int) -> dict[int, int]:
+    """Per order, an occurrence count that at least ``max_vocab`` terms reach (0 if fewer exist).
+
+    Works on the distinct counts, of which there are few, and returns one number per order.
+    """
+    levels = counted.groupBy("n", "occurrences").agg(F.count(F.lit(1)).alias("terms"))
+    reached = F.sum("terms").over(Window.partitionBy("n").orderBy(F.desc("occurrences")))
+    full = levels.withColumn("reached", reached).filter(F.col("reached") >= max_vocab)
+    rows = full.groupBy("n").agg(F.max("occurrences").alias("cut")).collect()
+    return {row.n: row.cut for row in rows}
+
+
+def top_terms(counted: DataFrame, n: int, max_vocab: int, cut: int = 0) -> DataFrame:
     """The ``max_vocab`` most frequent terms of one order, ties by term, numbered from 0.
 
-    The limit is a distributed top-k; only its bounded result is numbered.
+    ``cut`` lets the scan skip terms that cannot be among them, so the top-k that follows sorts
+    little more than its result; only that bounded result is numbered.
     """
     kept = (
-        statistics.filter((F.col("n") == n) & (F.col("documents") >= min_df))
+        counted.filter((F.col("n") == n) & (F.col("occurrences") >= cut))
         .orderBy(F.desc("occurrences"), F.asc("term"))
         .limit(max_vocab)
     )
@@ -80,9 +93,10 @@ def vocabularies(
     """
     statistics = term_statistics(df, tokens, orders).filter(F.col("documents") >= min_df)
     counted = settle(statistics, "terms")
+    cuts = occurrence_cuts(counted, max_vocab)
     tops = reduce(
         lambda left, right: left.unionByName(right),
-        [top_terms(counted, n, max_vocab, min_df) for n in orders],
+        [top_terms(counted, n, max_vocab, cuts.get(n, 0)) for n in orders],
     )
     total = F.lit(df.count())
     return tops.withColumn("idf", idf_weight(F.col("documents"), total, idf_min_doc_freq))

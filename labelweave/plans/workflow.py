@@ -42,6 +42,7 @@ class WorkflowParams:
     stratify: bool = True
     seed: int = 42
     partitions: int | None = None
+    land: bool = True
     buckets: int | None = None
     include_train: bool = True
     save_features: bool = True
@@ -80,14 +81,23 @@ def _train_rows(df: DataFrame) -> DataFrame:
     return df.filter(F.col("split") == "train")
 
 
-def _open_examples(spark: SparkSession, out: str, table: str, params: WorkflowParams) -> DataFrame | None:
+def _open_examples(
+    spark: SparkSession, examples: DataFrame, out: str, table: str, params: WorkflowParams
+) -> DataFrame:
+    """The landed examples of an earlier run, or those passed in if that run did not land them."""
+    if not params.land:
+        return examples
     path = f"{out}/examples"
     if params.buckets:
-        return artifacts.open_clustered(spark, path, table, "example_id", params.buckets)
-    return artifacts.read_if_present(spark, path)
+        found = artifacts.open_clustered(spark, path, table, "example_id", params.buckets)
+    else:
+        found = artifacts.read_if_present(spark, path)
+    return examples if found is None else found
 
 
 def _land_examples(examples: DataFrame, out: str, table: str, params: WorkflowParams) -> DataFrame:
+    if not params.land:
+        return examples
     path = f"{out}/examples"
     if params.buckets:
         return artifacts.land_clustered(examples, path, table, "example_id", params.buckets)
@@ -111,6 +121,10 @@ def run_workflow(
     ``examples`` has a unique ``example_id``, a ``text`` and one 0/1 column per label. A second
     call with the same parameters reuses the saved features and the scores of finished families;
     with other parameters it starts over. ``vad`` may be empty, its features are then 0.
+
+    The split reads the examples three times, so they are landed first. Set ``land=False`` when they
+    are a plain scan of stored files, and ``buckets`` to land them clustered by key, which makes the
+    token measures free of shuffles.
     """
     labels = list(labels)
     for family in params.families:
@@ -130,10 +144,9 @@ def run_workflow(
     if feature_rows is not None:
         resumed.append("features")
         model = FeatureModel.load(spark, f"{out}/models/features")
-        landed = _open_examples(spark, out, table, params)
+        landed = _open_examples(spark, examples, out, table, params)
     else:
         chosen = ensure_partitions(examples.select("example_id", "text", *labels), params.partitions)
-        # Splitting reads its input more than once: land the texts first, clustered if asked to.
         landed = _land_examples(chosen, out, table, params)
         divided = assign_splits(landed, labels, params)
         artifacts.write_splits(
@@ -151,10 +164,12 @@ def run_workflow(
             feature_rows = measured.drop("text")
         artifacts.write_fingerprint(spark, mark_path, mark)
 
-    done = set()
     scores_path = f"{out}/scores"
-    if same:
+    if "features" in resumed:
         done = artifacts.models_present(artifacts.read_scores(spark, scores_path))
+    else:
+        artifacts.clear_scores(spark, scores_path)
+        done = set()
     plain = model.assemble(feature_rows, FEATURES)
     counts = model.assemble(feature_rows, COUNTS, non_negative=True)
     for family in params.families:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelweave.operators.metrics import metrics_report
+from labelweave.operators.scores import SCORES_SCHEMA
 
 
 def read_if_present(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
@@ -38,6 +39,13 @@ def write_scores(scores: DataFrame, path: str) -> None:
     ).parquet(path)
 
 
+def clear_scores(spark: SparkSession, path: str) -> None:
+    """Drop all saved scores, so that none of another parameter set is taken for a finished one."""
+    spark.createDataFrame([], SCORES_SCHEMA).write.mode("overwrite").partitionBy(
+        "model", "split"
+    ).option("partitionOverwriteMode", "static").parquet(path)
+
+
 def read_scores(spark: SparkSession, path: str) -> DataFrame | None:
     scores = read_if_present(spark, path)
     if scores is None:
