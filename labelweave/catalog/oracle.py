@@ -164,6 +164,19 @@ VAD_COLUMNS = [
 ] + ["round(k / greatest(n, 1), 6) AS vad_token_coverage"]
 
 
+def _exact(expression: str) -> str:
+    """The expression without its rounding to six digits."""
+    return expression.replace("round(", "(").replace(", 6)", ")")
+
+
+def _names(columns: list[str]) -> list[str]:
+    return [c.rsplit(" AS ", 1)[1] for c in columns]
+
+
+LEX_EXACT = [_exact(c) for c in LEX_COLUMNS]
+VAD_EXACT = [_exact(c) for c in VAD_COLUMNS]
+
+
 def _hits(pattern: str) -> str:
     return f"len(regexp_extract_all(text, '{pattern}'))::DOUBLE"
 
@@ -186,7 +199,7 @@ STYLE_BASE = (
 )
 
 
-def style_columns(raw: bool) -> list[str]:
+def style_columns(raw: bool, *, exact: bool = False) -> list[str]:
     values = [
         "words",
         "chars",
@@ -201,6 +214,8 @@ def style_columns(raw: bool) -> list[str]:
         "CASE WHEN words = 0 THEN 0 ELSE round((bang + quest) / words, 6) END::DOUBLE",
         "digits",
     ]
+    if exact:
+        values = [_exact(value) for value in values]
     return [f"{value} AS {name}" for name, value in zip(STYLE_FEATURES, values)]
 
 
@@ -450,6 +465,49 @@ def statements() -> dict[str, str]:
         + " ".join(f"LEFT JOIN s{n} ON s{n}.doc_id = exs.id" for n in (1, 2, 3))
         + " JOIN lexf ON lexf.doc_id = exs.id JOIN vadf ON vadf.doc_id = exs.id JOIN styf ON styf.doc_id = exs.id"
     )
+    scalars = [f"greatest({name}, 0.0::DOUBLE) AS {name}" for name in _names(LEX_COLUMNS)]
+    scalars += _names(VAD_COLUMNS) + STYLE_FEATURES
+    size = f"({fixed} + " + " + ".join(f"(SELECT count(*) FROM v{n})" for n in (1, 2, 3)) + ")"
+    sql["scores_bayes"] = with_(
+        *train_parts,
+        "ltok AS (SELECT tok.* FROM tok JOIN exs ON exs.id = tok.doc_id)",
+        *[gram_rows(n, "ltok", f"lg{n}") for n in (1, 2, 3)],
+        WORDS, EMOTION, FLAGS, VAD, TOKEN_ROWS, LEX_SUMS, VAD_SUMS, STYLE_BASE,
+        "lexf AS (SELECT doc_id, " + ", ".join(LEX_EXACT) + " FROM lex)",
+        "vadf AS (SELECT doc_id, " + ", ".join(VAD_EXACT) + " FROM vs)",
+        "styf AS (SELECT doc_id, " + ", ".join(style_columns(False, exact=True)) + " FROM sty)",
+        "scal AS (SELECT doc_id, " + ", ".join(scalars) + " FROM ltok JOIN lexf USING (doc_id) "
+        "JOIN vadf USING (doc_id) JOIN styf USING (doc_id))",
+        # (document, feature, value) with every non-zero feature value
+        "fv AS ("
+        + " UNION ALL ".join(
+            f"SELECT doc_id, '{n}:' || term AS f, count(*) * any_value({_idf(train_total)}) AS x "
+            f"FROM lg{n} JOIN v{n} USING (term) GROUP BY doc_id, term"
+            for n in (1, 2, 3)
+        )
+        + " UNION ALL SELECT doc_id, f, x FROM (UNPIVOT scal ON * EXCLUDE (doc_id) INTO NAME f VALUE x))",
+        "marks AS (SELECT id AS doc_id, split, 'quality' AS label, 0 AS label_pos, quality AS y FROM exs "
+        "UNION ALL SELECT id, split, 'toxic', 1, toxic FROM exs)",
+        "sums AS (SELECT label, y AS class, f, sum(x) AS s FROM fv JOIN marks USING (doc_id) "
+        "WHERE split = 'train' GROUP BY ALL)",
+        "cls AS (SELECT label, y AS class, count(*) AS n FROM marks WHERE split = 'train' GROUP BY ALL)",
+        f"prior AS (SELECT cls.label, cls.class, ln(n + 1.0::DOUBLE) - ln((SELECT sum(n) FROM cls c WHERE c.label = cls.label) "
+        f"+ 2.0::DOUBLE) AS pi, ln((SELECT sum(s) FROM sums WHERE sums.label = cls.label AND sums.class = cls.class) "
+        f"+ {size}::DOUBLE) AS base FROM cls)",
+        # a feature without any training value in a class adds ln(1) = 0 to the first sum
+        "hits AS (SELECT doc_id, label, class, sum(x * ln(s + 1.0::DOUBLE)) AS a FROM fv JOIN sums USING (f) GROUP BY ALL)",
+        "whole AS (SELECT doc_id, sum(x) AS total FROM fv GROUP BY doc_id)",
+        "raw AS (SELECT m.doc_id, m.split, m.label, m.label_pos, m.y, p.class, "
+        "p.pi + coalesce(h.a, 0) - coalesce(w.total, 0) * p.base AS v FROM marks m JOIN prior p ON p.label = m.label "
+        "LEFT JOIN hits h ON h.doc_id = m.doc_id AND h.label = m.label AND h.class = p.class "
+        "LEFT JOIN whole w ON w.doc_id = m.doc_id)",
+        "pair AS (SELECT doc_id, split, label, label_pos, y, max(v) FILTER (WHERE class = 0) AS v0, "
+        "max(v) FILTER (WHERE class = 1) AS v1 FROM raw GROUP BY ALL)",
+    ) + (
+        "SELECT doc_id AS example_id, split, 'naive_bayes' AS model, label, label_pos::INTEGER AS label_pos, y::DOUBLE AS y, "
+        "round(CASE WHEN v0 - v1 > 700 THEN 0.0 ELSE 1.0 / (1.0 + exp(v0 - v1)) END, 6)::DOUBLE AS score, "
+        "CASE WHEN v1 > v0 THEN 1.0 ELSE 0.0 END::DOUBLE AS pred FROM pair"
+    )
     sql["clip_non_negative"] = with_(TOKENS, WORDS, EMOTION, FLAGS, TOKEN_ROWS, LEX_SUMS) + (
         "SELECT doc_id, lex_dominant_index AS raw_index, greatest(lex_dominant_index, 0.0)::DOUBLE AS lex_dominant_index, "
         "lex_total_matches FROM (SELECT doc_id, " + ", ".join(LEX_COLUMNS) + " FROM lex)"

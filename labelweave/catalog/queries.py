@@ -28,7 +28,7 @@ from labelweave.operators.features import (
     with_tokens,
 )
 from labelweave.plans.scoring import ScoringBundle, score_table
-from labelweave.plans.workflow import WorkflowParams, run_workflow
+from labelweave.plans.workflow import WorkflowParams, run_from_files, run_workflow
 from labelweave.scratch import scratch_path, settle
 from labelweave.sources import annotations as csv_source
 from labelweave.sources import artifacts, lexicons
@@ -54,14 +54,28 @@ def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
 # Sources, projections, rater aggregation
 
 
-@query
-def csv_shard_union(spark: SparkSession, sf: str) -> DataFrame:
+def _csv_shards(spark: SparkSession, sf: str) -> list[str]:
+    """One CSV shard per rater, with the texts of all documents."""
     rows = fx.annotations(spark, sf)
     root = scratch_path(spark, "shards")
-    paths = [f"{root}/shard={i}" for i in range(3)]
+    paths = [f"{root}/shard{i}" for i in range(3)]
     for i, path in enumerate(paths):
         csv_source.write_annotation_csv(rows.filter(F.col("rater") == i).drop("rater"), path)
-    back = csv_source.read_annotation_csv(spark, paths)
+    return paths
+
+
+def _lexicon_files(spark: SparkSession, sf: str) -> tuple[str, str]:
+    emotions, vad = scratch_path(spark, "emotions"), scratch_path(spark, "vad")
+    fx.emotion_rows(spark, sf).write.option("sep", "\t").csv(emotions)
+    fx.vad_lexicon(spark, sf).toDF("Term", " Valence", "AROUSAL", "Dominance").write.option(
+        "sep", "\t"
+    ).option("header", True).csv(vad)
+    return emotions, vad
+
+
+@query
+def csv_shard_union(spark: SparkSession, sf: str) -> DataFrame:
+    back = csv_source.read_annotation_csv(spark, _csv_shards(spark, sf))
     return annotate.cast_labels(
         back.select("id", "text", "example_very_unclear", *TAXONOMY.fine), TAXONOMY.fine
     )
@@ -69,18 +83,12 @@ def csv_shard_union(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def lexicon_tsv_scan(spark: SparkSession, sf: str) -> DataFrame:
-    path = scratch_path(spark, "emotions")
-    fx.emotion_rows(spark, sf).write.option("sep", "\t").csv(path)
-    return lexicons.read_emotion_lexicon(spark, path)
+    return lexicons.read_emotion_lexicon(spark, _lexicon_files(spark, sf)[0])
 
 
 @query
 def vad_scan_normalized(spark: SparkSession, sf: str) -> DataFrame:
-    path = scratch_path(spark, "vad")
-    fx.vad_lexicon(spark, sf).toDF("Term", " Valence", "AROUSAL", "Dominance").write.option(
-        "sep", "\t"
-    ).option("header", True).csv(path)
-    return lexicons.read_vad_lexicon(spark, path)
+    return lexicons.read_vad_lexicon(spark, _lexicon_files(spark, sf)[1])
 
 
 @query
@@ -330,7 +338,7 @@ def _trained_scores(family: str) -> Query:
         )
         ready = settle(vectors, "features")
         fitted = train.fit_family(ready.filter(F.col("split") == "train"), QUALITY_LABELS, family)
-        return train.score_rows(ready, fitted)
+        return rounded(train.score_rows(ready, fitted), "score")
 
     return run
 
@@ -538,6 +546,16 @@ def workflow_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return result.summary
 
 
+@query
+def train_from_files(spark: SparkSession, sf: str) -> DataFrame:
+    emotions, vad = _lexicon_files(spark, sf)
+    params = WorkflowParams(families=("naive_bayes",), thresholds=TAXONOMY.thresholds)
+    result, _ = run_from_files(
+        spark, _csv_shards(spark, sf), emotions, vad, scratch_path(spark, "run"), params=params
+    )
+    return result.per_label
+
+
 @query
 def resume_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     out = scratch_path(spark, "run")

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelweave.operators.annotate import label_array, primary_label
+from labelweave.operators.annotate import label_array, prepare_examples, primary_label
 from labelweave.operators.features import FeatureModel, FeatureParams, fit_features
 from labelweave.operators.metrics import evaluate
 from labelweave.operators.scores import ENSEMBLE, canonical_predictions, majority_vote
@@ -30,7 +30,9 @@ from labelweave.operators.train import (
     score_rows,
 )
 from labelweave.sources import artifacts
-from labelweave.taxonomy import THRESHOLD_GRID
+from labelweave.sources.annotations import read_annotation_csv
+from labelweave.sources.lexicons import read_emotion_lexicon, vad_or_empty
+from labelweave.taxonomy import THRESHOLD_GRID, Taxonomy
 
 
 @dataclass(frozen=True)
@@ -221,3 +223,38 @@ def run_workflow(
         out, resumed, artifacts.row_counts(feature_rows), scores, thresholds, summary, per_label,
         samples, skipped,
     )
+
+
+def run_from_files(
+    spark: SparkSession,
+    shards: Sequence[str],
+    emotion_lexicon: str,
+    vad_lexicon: str | None,
+    out: str,
+    *,
+    taxonomy: Taxonomy = Taxonomy(),
+    sample_fraction: float | None = None,
+    params: WorkflowParams | None = None,
+) -> tuple[WorkflowResult, bool]:
+    """The whole job from annotation shards and lexicon files.
+
+    The flag tells whether the VAD lexicon could be read; without it its features are 0.
+    """
+    if params is None:
+        params = WorkflowParams(thresholds=taxonomy.thresholds)
+    annotations = read_annotation_csv(spark, shards)
+    examples = prepare_examples(
+        annotations, taxonomy, sample_fraction=sample_fraction, seed=params.seed
+    )
+    vad, available = vad_or_empty(spark, vad_lexicon)
+    result = run_workflow(
+        spark,
+        examples,
+        taxonomy.labels,
+        out,
+        pairs=read_emotion_lexicon(spark, emotion_lexicon),
+        vad=vad,
+        emotions=taxonomy.emotions,
+        params=params,
+    )
+    return result, available
