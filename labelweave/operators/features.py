@@ -146,31 +146,28 @@ def fit_features(
         ),
         StopWordsRemover(inputCol="_tokens", outputCol="_filtered"),
     ]
-    orders = []
-    for n in params.orders:
-        block = sorted((row for row in learned if row.n == n), key=lambda row: row["index"])
-        if not block:
-            continue
-        orders.append(n)
-        source = "_filtered" if n == 1 else f"_{n}gram"
-        if n > 1:
-            stages.append(NGram(n=n, inputCol="_filtered", outputCol=source))
-        stages.append(
-            CountVectorizerModel.from_vocabulary(
-                [row.term for row in block], inputCol=source, outputCol=f"_tf_{n}gram"
-            )
-        )
-        stages.append(
-            ElementwiseProduct(
-                scalingVec=Vectors.dense([row.idf for row in block]),
-                inputCol=f"_tf_{n}gram",
-                outputCol=f"tfidf_{n}gram",
-            )
-        )
+    blocks = {
+        n: sorted((row for row in learned if row.n == n), key=lambda row: row["index"])
+        for n in params.orders
+    }
+    orders = [n for n in params.orders if blocks[n]]
+    for n in orders:
+        stages += _block_stages(n, [r.term for r in blocks[n]], [r.idf for r in blocks[n]])
     terms = settle(term_table(pairs, vad, emotions), "lexicon")
     return FeatureModel(PipelineModel(stages), terms, orders, list(emotions))
 
 
+def _block_stages(n: int, words: list[str], weights: list[float]) -> list:
+    """Counting and weighting of one n-gram order."""
+    source = "_filtered" if n == 1 else f"_{n}gram"
+    grams = [] if n == 1 else [NGram(n=n, inputCol="_filtered", outputCol=source)]
+    counter = CountVectorizerModel.from_vocabulary(words, inputCol=source, outputCol=f"_tf_{n}gram")
+    weighting = ElementwiseProduct(
+        scalingVec=Vectors.dense(weights), inputCol=f"_tf_{n}gram", outputCol=f"tfidf_{n}gram"
+    )
+    return [*grams, counter, weighting]
+
+
 def _limits(params: FeatureParams) -> dict[str, int]:
     settings = asdict(params)
     settings.pop("ngram_orders")

@@ -79,13 +79,14 @@ def stratified_cuts(
     ratios: tuple[float, float],
     *,
     seed: int = 42,
-    digits: int = 4,
+    digits: int = 3,
 ) -> DataFrame:
     """Per stratum, the last (digest, key) of the train part and of the validation part.
 
     Two narrow passes over key and stratum. The first counts digest prefixes. Rank ranges settle
     all prefixes but the (at most two per stratum) in which a cut falls; the second pass ranks
-    the rows of those prefixes only, about 2/16^digits of the table.
+    the rows of those prefixes only, about 2/16^digits of the table. More digits make the second
+    pass smaller and the counts that the first one shuffles more numerous.
     """
     train_end, validation_end = ratios
     keyed = _keyed(df, key, stratum, seed, digits)
@@ -136,7 +137,7 @@ def stratified_split(
     ratios: tuple[float, float, float] = (0.70, 0.15, 0.15),
     *,
     seed: int = 42,
-    digits: int = 4,
+    digits: int = 3,
 ) -> DataFrame:
     """Add ``split``: exactly the rows a per-stratum ``percent_rank`` split would pick.
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelweave.operators.metrics import f1, ratio
+from labelweave.scratch import settle
 
 
 def clean_candidates(candidates: Sequence[float]) -> list[float]:
@@ -15,27 +16,23 @@ def clean_candidates(candidates: Sequence[float]) -> list[float]:
     return sorted({round(float(c), 4) for c in candidates if 0.0 <= c <= 1.0})
 
 
-def threshold_grid(scores: DataFrame, candidates: Sequence[float]) -> DataFrame:
-    """Confusion counts, precision, recall and F1 per (model, label, candidate).
+def reach_counts(scores: DataFrame, grid: list[float]) -> DataFrame:
+    """Positives and negatives per (model, label, number of candidates the score reaches).
 
-    Every score is replaced by the number of candidates it reaches, rows are counted per
-    (model, label, number reached), and the counts are added up from the top. The input is read
-    once and not multiplied by the number of candidates. Rows without a score take no part.
+    The number is NULL for rows without a score. One pass over the scores, whose rows are not
+    multiplied by the number of candidates; the result has len(grid) + 2 rows per model and label.
     """
-    grid = clean_candidates(candidates)
-    if not grid:
-        raise ValueError("no threshold candidate lies in [0, 1]")
     reached = F.lit(0)
     for candidate in grid:
         reached = reached + (F.col("score") >= candidate).cast("int")
-    counted = (
-        scores.filter(F.col("score").isNotNull())
-        .groupBy("model", "label", reached.alias("_reached"))
-        .agg(
-            F.count_if(F.col("y") == 1.0).alias("_pos"),
-            F.count_if(F.col("y") == 0.0).alias("_neg"),
-        )
+    return scores.groupBy("model", "label", reached.alias("_reached")).agg(
+        F.count_if(F.col("y") == 1.0).alias("_pos"),
+        F.count_if(F.col("y") == 0.0).alias("_neg"),
     )
+
+
+def grid_from_counts(counted: DataFrame, grid: list[float]) -> DataFrame:
+    """Add the reach counts up from the highest candidate down."""
     stats = [F.sum("_pos").alias("_all_pos")]
     for i in range(1, len(grid) + 1):
         over = F.col("_reached") >= i
@@ -43,7 +40,8 @@ def threshold_grid(scores: DataFrame, candidates: Sequence[float]) -> DataFrame:
             F.sum(F.when(over, F.col("_pos")).otherwise(0)).alias(f"_tp{i}"),
             F.sum(F.when(over, F.col("_neg")).otherwise(0)).alias(f"_fp{i}"),
         ]
-    summed = counted.groupBy("model", "label").agg(*stats)
+    scored = counted.filter(F.col("_reached").isNotNull())
+    summed = scored.groupBy("model", "label").agg(*stats)
     rows = F.array(
         *[
             F.struct(
@@ -61,6 +59,17 @@ def threshold_grid(scores: DataFrame, candidates: Sequence[float]) -> DataFrame:
     return measured.withColumn("f1", f1(F.col("precision"), F.col("recall")))
 
 
+def threshold_grid(scores: DataFrame, candidates: Sequence[float]) -> DataFrame:
+    """Confusion counts, precision, recall and F1 per (model, label, candidate).
+
+    Rows without a score take no part.
+    """
+    grid = clean_candidates(candidates)
+    if not grid:
+        raise ValueError("no threshold candidate lies in [0, 1]")
+    return grid_from_counts(reach_counts(scores, grid), grid)
+
+
 def best_thresholds(grid: DataFrame) -> DataFrame:
     """Highest F1, then highest recall, then lowest threshold. ``grid`` is small."""
     order = Window.partitionBy("model", "label").orderBy(
@@ -87,12 +96,14 @@ def tune_thresholds(
     configured: Mapping[str, float],
 ) -> DataFrame:
     """(model, label, threshold): tuned where the model has scores, else configured, else 0.5."""
-    pairs = validation.select("model", "label").distinct()
     fallback = F.coalesce(setting(configured, F.col("label")), F.lit(0.5))
     grid = clean_candidates(candidates)
+    # Settled, because both sides of the join below come from this one pass over the scores.
+    counted = settle(reach_counts(validation, grid), "reached")
+    pairs = counted.select("model", "label").distinct()
     if not grid:
         return pairs.select("model", "label", fallback.alias("threshold"))
-    best = best_thresholds(threshold_grid(validation, grid)).select(
+    best = best_thresholds(grid_from_counts(counted, grid)).select(
         "model", "label", F.col("threshold").alias("_tuned")
     )
     # One row per model and label on both sides.
