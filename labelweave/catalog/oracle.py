@@ -589,6 +589,8 @@ def statements() -> dict[str, str]:
     sql["positive_labels"] = with_(*DECIDED, SUMMARIES) + "SELECT example_id, model, positives AS positive_labels FROM summ"
     sql["story"] = with_(*DECIDED, SUMMARIES) + f"SELECT example_id, model, {STORY} AS story FROM summ"
 
+    sql["feature_model_roundtrip"] = sql["feature_table"]
+    sql["label_models_roundtrip"] = sql["scores_bayes"]
     sql["split_table_roundtrip"] = sql["stratified_split"]
     sql["scores_roundtrip"] = with_(*CHAIN, SCORES) + f"SELECT {score_columns} FROM scores"
     sql["thresholds_roundtrip"] = sql["tuned_thresholds"]

@@ -290,20 +290,31 @@ def feature_dims_query(spark: SparkSession, sf: str) -> DataFrame:
     return feature_dims(model, model.transform(examples))
 
 
-@query
-def feature_table(spark: SparkSession, sf: str) -> DataFrame:
-    examples, model = _fitted(spark, sf)
-    measured = model.measure(examples)
+def _rounded_features(model: FeatureModel, examples: DataFrame) -> DataFrame:
     sums = [
         F.round(
             F.aggregate(F.unwrap_udt(c).getField("values"), F.lit(0.0), lambda a, v: a + v), 5
         ).alias(f"{c}_sum")
         for c in model.tfidf_columns
     ]
-    plain = rounded(measured, *_LEX_RATIOS, *lexicon.vad_features(), *_RATIOS)
+    plain = rounded(model.measure(examples), *_LEX_RATIOS, *lexicon.vad_features(), *_RATIOS)
     return plain.select("example_id", "split", *sums, *model.scalar_columns)
 
 
+@query
+def feature_table(spark: SparkSession, sf: str) -> DataFrame:
+    examples, model = _fitted(spark, sf)
+    return _rounded_features(model, examples)
+
+
+@query
+def feature_model_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    examples, model = _fitted(spark, sf)
+    path = scratch_path(spark, "feature_model")
+    model.save(path)
+    return _rounded_features(FeatureModel.load(spark, path), examples)
+
+
 @query
 def clip_non_negative_query(spark: SparkSession, sf: str) -> DataFrame:
     measured = lexicon.lexicon_measures(
@@ -328,17 +339,20 @@ def naive_bayes_parameters(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(found, "theta", "pi")
 
 
+def _trained(spark: SparkSession, sf: str, family: str) -> tuple[DataFrame, train.LabelModels]:
+    """Assembled features of the labelled documents and one model per label."""
+    examples, model = _fitted(spark, sf)
+    vectors = model.assemble(
+        model.measure(examples), train.input_column(family), non_negative=family == "naive_bayes"
+    )
+    ready = settle(vectors, "features")
+    fitted = train.fit_family(ready.filter(F.col("split") == "train"), QUALITY_LABELS, family)
+    return ready, fitted
+
+
 def _trained_scores(family: str) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        examples, model = _fitted(spark, sf)
-        vectors = model.assemble(
-            model.measure(examples),
-            train.input_column(family),
-            non_negative=family == "naive_bayes",
-        )
-        ready = settle(vectors, "features")
-        fitted = train.fit_family(ready.filter(F.col("split") == "train"), QUALITY_LABELS, family)
-        return rounded(train.score_rows(ready, fitted), "score")
+        return rounded(train.score_rows(*_trained(spark, sf, family)), "score")
 
     return run
 
@@ -352,6 +366,14 @@ for _name, _family in {
     REGISTRY[_name] = _trained_scores(_family)
 
 
+@query
+def label_models_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    ready, fitted = _trained(spark, sf, "naive_bayes")
+    path = scratch_path(spark, "models")
+    train.save_models(fitted, path)
+    return rounded(train.score_rows(ready, train.load_models(spark, path, "naive_bayes")), "score")
+
+
 # Scores, thresholds, metrics
 
 

@@ -86,20 +86,28 @@ class FeatureModel:
         measured = rows.join(by_key, KEY)
         return measured.select(*df.columns, *self.tfidf_columns, *self.scalar_columns)
 
-    def assemble(
+    def add_vector(
         self, measured: DataFrame, output: str = "features", *, non_negative: bool = False
     ) -> DataFrame:
-        """One vector per row: TF-IDF blocks, lexicon, VAD, style. A map-only step."""
-        inputs = [*self.tfidf_columns, *self.scalar_columns]
+        """Add one vector per row: TF-IDF blocks, lexicon, VAD, style. A map-only step."""
+        scalars = self.scalar_columns
         source = measured
         if non_negative:
             # TF-IDF values are never negative, so only the scalars need clipping.
-            scalars = set(self.scalar_columns)
-            others = [F.col(c) for c in measured.columns if c not in scalars]
-            source = measured.select(*others, *clip_non_negative(self.scalar_columns))
+            scalars = [f"_clipped_{c}" for c in self.scalar_columns]
+            clipped = zip(clip_non_negative(self.scalar_columns), scalars)
+            source = measured.select("*", *[column.alias(name) for column, name in clipped])
+        inputs = [*self.tfidf_columns, *scalars]
         assembled = VectorAssembler(inputCols=inputs, outputCol=output).transform(source)
-        rest = [c for c in measured.columns if c not in inputs]
-        return assembled.select(*rest, output)
+        return assembled.select(*measured.columns, output)
+
+    def assemble(
+        self, measured: DataFrame, output: str = "features", *, non_negative: bool = False
+    ) -> DataFrame:
+        """The vector in place of the columns it is made of."""
+        parts = {*self.tfidf_columns, *self.scalar_columns}
+        rest = [c for c in measured.columns if c not in parts]
+        return self.add_vector(measured, output, non_negative=non_negative).select(*rest, output)
 
     def transform(self, df: DataFrame) -> DataFrame:
         return self.assemble(self.measure(df))

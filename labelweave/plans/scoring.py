@@ -97,9 +97,9 @@ def score_table(
     inputs = {input_column(f) for f in used}
     rows = measured
     if FEATURES in inputs:
-        rows = _with_vector(bundle, rows, FEATURES, False)
+        rows = bundle.features.add_vector(rows, FEATURES)
     if COUNTS in inputs:
-        rows = _with_vector(bundle, rows, COUNTS, True)
+        rows = bundle.features.add_vector(rows, COUNTS, non_negative=True)
     outputs: dict[str, dict[str, tuple[Column, Column]]] = {}
     for family in used:
         rows, outputs[family] = label_outputs(rows, bundle.families[family])
@@ -125,17 +125,3 @@ def score_table(
         story(results, descriptors).alias("story"),
     )
 
-
-def _with_vector(bundle: ScoringBundle, rows: DataFrame, output: str, clip: bool) -> DataFrame:
-    """Add an assembled vector and keep the columns it was made of."""
-    from pyspark.ml.feature import VectorAssembler
-
-    model = bundle.features
-    if not clip:
-        inputs = [*model.tfidf_columns, *model.scalar_columns]
-        return VectorAssembler(inputCols=inputs, outputCol=output).transform(rows)
-    clipped = [
-        F.greatest(F.col(c), F.lit(0.0)).alias(f"_clipped_{c}") for c in model.scalar_columns
-    ]
-    inputs = [*model.tfidf_columns, *[f"_clipped_{c}" for c in model.scalar_columns]]
-    return VectorAssembler(inputCols=inputs, outputCol=output).transform(rows.select("*", *clipped))

@@ -16,6 +16,7 @@ from labelweave.operators.split import (
     ensure_partitions,
     hash_split,
     sample_rows,
+    split_counts,
     stratified_split,
 )
 from labelweave.operators.thresholds import setting, tune_thresholds
@@ -220,7 +221,7 @@ def run_workflow(
         artifacts.write_samples(rows, samples)
 
     return WorkflowResult(
-        out, resumed, artifacts.row_counts(feature_rows), scores, thresholds, summary, per_label,
+        out, resumed, split_counts(feature_rows), scores, thresholds, summary, per_label,
         samples, skipped,
     )
 

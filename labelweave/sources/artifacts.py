@@ -8,7 +8,6 @@ from dataclasses import asdict, is_dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from labelweave.operators.metrics import metrics_report
 from labelweave.operators.scores import SCORES_SCHEMA
@@ -129,7 +128,3 @@ def open_clustered(
         f"CLUSTERED BY (`{key}`) INTO {int(buckets)} BUCKETS LOCATION '{path}'"
     )
     return spark.table(table)
-
-
-def row_counts(df: DataFrame) -> DataFrame:
-    return df.groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
