@@ -78,9 +78,12 @@ class FeatureModel:
         Vectors and style are computed in the row. The token measures come back by key; both sides
         ride on the clustering of ``df`` if it has one (a bucketed table), else both are shuffled.
         """
-        staged = self.text_stages.transform(df)
+        # A missing text is measured as an empty one and stays missing in the output.
+        filled = df.withColumn("_given", F.col("text")).withColumn("text", F.coalesce("text", F.lit("")))
+        staged = self.text_stages.transform(filled)
         style = style_measures(F.col("text"), F.col("_filtered"))
-        rows = staged.select(*df.columns, *self.tfidf_columns, *style)
+        given = [F.col("_given").alias("text") if c == "text" else F.col(c) for c in df.columns]
+        rows = staged.select(*given, *self.tfidf_columns, *style)
         words = staged.select(KEY, "_filtered")
         by_key = term_measures(words, self.terms, KEY, "_filtered", self.emotions)
         measured = rows.join(by_key, KEY)

@@ -1,7 +1,6 @@
 from __future__ import annotations
 
 import pytest
-from pyspark.sql import functions as F
 
 from labelweave.functions.keys import with_example_id
 from labelweave.operators import annotate

@@ -164,3 +164,10 @@ def test_naive_bayes_parameters_equal_library(spark, docs, sf_dir):
                 theta, pi = cells[(k, term)]
                 assert theta == pytest.approx(fitted.theta.toArray()[k][i])
                 assert pi == pytest.approx(fitted.pi[k])
+
+
+def test_missing_texts_are_measured_as_empty(spark, model):
+    df = spark.createDataFrame([(1, None), (2, "")], "example_id long, text string")
+    rows = {r.example_id: r for r in model.transform(df).collect()}
+    assert rows[1].text is None and rows[2].text == ""
+    assert rows[1].features == rows[2].features
