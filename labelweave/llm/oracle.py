@@ -1,5 +1,14 @@
 """DuckDB statements that give the rows of the registered queries."""
 
+OP3 = r"""
+WITH texts AS (
+  SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
+)
+SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+  doc_id = min(doc_id) OVER same AS kept, text_sha256
+FROM texts WINDOW same AS (PARTITION BY text_sha256)
+"""
+
 OP9 = r"""
 WITH parts AS (
   SELECT page_id,
@@ -62,4 +71,4 @@ SELECT *, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, tex
 FROM sized
 """
 
-STATEMENTS = {"op9_url_cascade": OP9, "op10_rendezvous_shards": OP10}
+STATEMENTS = {"op3_quotient_filter_dedup": OP3, "op9_url_cascade": OP9, "op10_rendezvous_shards": OP10}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelweave.llm import sharding, urls
+from labelweave.llm import exact, mixing, packing, sharding, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -35,6 +35,28 @@ def listed_domains(pages: DataFrame) -> DataFrame:
     return hosts.filter(F.col("key").rlike("|".join(LISTED_WORDS)))
 
 
+@query
+def op3_quotient_filter_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return exact.exact_duplicates(docs).drop("_row")
+
+
+# Weights of the sources, in order of their names.
+SOURCE_WEIGHTS = (5.0, 2.0, 1.0)
+
+
+@query
+def op6_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    mix = mixing.mix_sources(docs, SOURCE_WEIGHTS)
+    return mix.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query
 def op9_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
