@@ -5,7 +5,7 @@ its target holds the source, and once more with the fraction that is left. That
 sample: the flight phase moves the fractional inclusion probabilities of three documents at a time along the
 direction that leaves the source's document and word totals as they are, until one of them is 0 or 1. It runs
 in blocks; the at most two documents that a block leaves undecided move on to the next round, until one small
-landing problem is left for each source.
+landing problem of at most ``LANDING_ROWS + 2`` documents is left for each source.
 
 Defined cases: a NULL text has size 0; NULL is a source of its own, last in order; documents of size 0 take
 part in document totals; rows with equal ids are separate documents; an empty table gives an empty result.
@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +27,8 @@ from labelweave.scratch import settle
 
 #: Documents in a block of the flight phase, on average.
 BLOCK_ROWS = 4096
+#: Documents that the last flight of a source leaves to the landing, to have room for a close total.
+LANDING_ROWS = 12
 #: Sources beyond this number raise an error: targets are computed from one row for each source.
 MAX_SOURCES = 1_000_000
 _SURE = 1e-9
@@ -105,16 +106,18 @@ def flight(probability: np.ndarray, size: np.ndarray, rng: np.random.Generator)
 
 
 def landing(probability: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Decide the few documents left: the choice with the word total nearest to the expected one."""
-    open_ = np.flatnonzero((probability > 0) & (probability < 1))
-    out = probability.copy()
-    want_words, want_docs = float(probability[open_] @ size[open_]), float(probability[open_].sum())
-
-    def cost(choice: tuple[int, ...]) -> tuple[float, float, tuple[int, ...]]:
-        x = np.array(choice)
-        return abs(float(x @ size[open_]) - want_words), abs(float(x.sum()) - want_docs), choice
+    """Decide the few documents left: of all choices the one nearest to the expected words and documents.
 
-    out[open_] = min(product((0, 1), repeat=len(open_)), key=cost) if len(open_) else []
+    A document counts as much as the words of a mean one; of equal choices the first is taken.
+    """
+    out = probability.copy()
+    open_ = np.flatnonzero((out > 0) & (out < 1))
+    if len(open_):
+        choices = (np.arange(1 << len(open_))[:, None] >> np.arange(len(open_))) & 1
+        scale = max(1.0, float(size[open_].mean()))
+        words = np.abs(choices @ size[open_] - out[open_] @ size[open_]) / scale
+        rows = np.abs(choices.sum(axis=1) - out[open_].sum())
+        out[open_] = choices[np.argmin(words + np.maximum(rows - 1, 0))]
     return out
 
 
@@ -125,8 +128,11 @@ def _fly(last: bool, seed: int):
         rank, block, level = (k.as_py() for k in key)
         size = table["size"].to_numpy()
         order = np.lexsort((table["_row"].to_numpy(), table["_tie"].to_numpy(), -size))
-        p = table["_p"].to_numpy()[order]
-        p = flight(p, size[order], np.random.default_rng([seed, rank, block, level]))
+        p = table["_p"].to_numpy()[order].copy()
+        moving = np.ones(len(p), bool)
+        if last:
+            moving[np.argsort(table["_tie"].to_numpy()[order], kind="stable")[:LANDING_ROWS]] = False
+        p[moving] = flight(p[moving], size[order][moving], np.random.default_rng([seed, rank, block, level]))
         if last:
             p = landing(p, size[order])
         back = np.empty_like(p)
