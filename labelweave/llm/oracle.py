@@ -1,5 +1,41 @@
 """DuckDB statements that give the rows of the registered queries."""
 
+_KEYS = "|".join(
+    "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+    for word in ("password", "passwd", "secret", "token", "api_?key")
+)
+_ASSIGN = f"""({_KEYS})[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def _matches(kind: str, place: int, pattern: str, group: int, least: int) -> str:
+    """Matches of a pattern with their places: the pieces between matches and the matches add up."""
+    return f"""
+  SELECT doc_id, '{kind}' AS kind, {place} AS place,
+    list_sum(list_transform(gaps[1:i], lambda x: length(x)))
+      + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS start,
+    length(hits[i]) AS size, length(inner_[i]) AS inner_size, {least} AS least
+  FROM (
+    SELECT doc_id, gaps, hits, inner_, unnest(range(1, len(hits) + 1)) AS i FROM (
+      SELECT doc_id, regexp_split_to_array(text, '{pattern}') AS gaps,
+        regexp_extract_all(text, '{pattern}') AS hits, regexp_extract_all(text, '{pattern}', {group}) AS inner_
+      FROM documents WHERE text IS NOT NULL))"""
+
+
+OP1 = f"""
+WITH found AS ({_matches("assign", 0, _ASSIGN, 2, 6)}
+  UNION ALL {_matches("access", 1, "AKIA[A-Z0-9]+", 0, 20)}
+  UNION ALL {_matches("hex", 2, "[0-9a-f]{24,}", 0, 24)}
+), rows AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+    count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(start + size AS BIGINT), ',' ORDER BY start, place) AS spans
+  FROM found WHERE inner_size >= least GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access,
+  coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN rows USING (doc_id)
+"""
+
 OP3 = r"""
 WITH texts AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
@@ -71,4 +107,4 @@ SELECT *, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, tex
 FROM sized
 """
 
-STATEMENTS = {"op3_quotient_filter_dedup": OP3, "op9_url_cascade": OP9, "op10_rendezvous_shards": OP10}
+STATEMENTS = {"op1_secret_ledger": OP1, "op3_quotient_filter_dedup": OP3, "op9_url_cascade": OP9, "op10_rendezvous_shards": OP10}

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelweave.llm import exact, mixing, packing, sharding, urls
+from labelweave.llm import exact, mixing, packing, rules, secrets, sharding, urls
+from labelweave.scratch import scratch_path, settle
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -35,12 +36,42 @@ def listed_domains(pages: DataFrame) -> DataFrame:
     return hosts.filter(F.col("key").rlike("|".join(LISTED_WORDS)))
 
 
+@query
+def op1_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ledger = secrets.BlobLedger(scratch_path(spark, "ledger"))
+    return secrets.scan_documents(docs, ledger).drop("blob")
+
+
 @query
 def op3_quotient_filter_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact.exact_duplicates(docs).drop("_row")
 
 
+@query
+def op5_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = settle(rules.document_counts(table(spark, sf_dir, "documents")), "counts")
+    base_failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    # The list decides about what the base keeps, so it is learned from such documents.
+    marks = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    labelled = counts.filter(~base_failed).join(marks, "doc_id")
+    features = rules.feature_columns()
+    learned = rules.learn_decision_list(labelled, features, F.col("quality") == 0)
+    reason = learned.reason(features)
+    return counts.select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        base_failed.alias("base_failed"),
+        (~base_failed & reason.isNull()).alias("kept"),
+        F.when(base_failed, "base").otherwise(reason).alias("reason"),
+    )
+
+
 # Weights of the sources, in order of their names.
 SOURCE_WEIGHTS = (5.0, 2.0, 1.0)
 

@@ -15,8 +15,8 @@ import pyarrow as pa
 #: Bytes of text that are taken at a time; one longer text is taken alone.
 CHUNK_BYTES = 2 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_IS_SPACE = np.zeros(256, dtype=bool)
-_IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+IS_SPACE = np.zeros(256, dtype=bool)
+IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def mix(values: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -97,7 +97,7 @@ def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Texts]:
 
 
 def find_words(texts: Texts) -> Words:
-    inside = ~_IS_SPACE[texts.data]
+    inside = ~IS_SPACE[texts.data]
     starts_here = inside.copy()
     starts_here[1:] &= ~inside[:-1]
     ends_here = inside.copy()
