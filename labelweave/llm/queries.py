@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelweave.llm import exact, mixing, packing, rules, secrets, sharding, urls
+from labelweave.llm import exact, mixing, packing, rules, secret_scan, sharding, toxicity, urls
 from labelweave.scratch import scratch_path, settle
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,8 +39,8 @@ def listed_domains(pages: DataFrame) -> DataFrame:
 @query
 def op1_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ledger = secrets.BlobLedger(scratch_path(spark, "ledger"))
-    return secrets.scan_documents(docs, ledger).drop("blob")
+    ledger = secret_scan.BlobLedger(scratch_path(spark, "ledger"))
+    return secret_scan.scan_documents(docs, ledger).drop("blob")
 
 
 @query
@@ -83,6 +83,25 @@ def op6_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+# The categories that the labels have: low quality first, toxicity last.
+CATEGORIES = ("low_quality", "toxic")
+
+
+def category_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Texts with their 0/1 categories; of several labels of a document the worse one counts."""
+    marks = labels.groupBy("doc_id").agg(
+        (1 - F.min("quality")).alias("low_quality"), F.max("toxic").alias("toxic")
+    )
+    return docs.select("doc_id", "text").join(marks, "doc_id")
+
+
+@query
+def op7_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = toxicity.fit_chain(category_labels(docs, table(spark, sf_dir, "labels")), CATEGORIES)
+    return toxicity.score_documents(docs, chain)
+
+
 @query
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
