@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelweave.llm import exact, mixing, packing, rules, secret_scan, sharding, toxicity, urls
+from labelweave.llm import exact, mixing, ordermin, packing, rules, secret_scan, sharding, toxicity, urls
 from labelweave.scratch import scratch_path, settle
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,12 @@ def op3_quotient_filter_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(docs).drop("_row")
 
 
+@query
+def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ordermin.near_duplicates(docs).drop("_row")
+
+
 @query
 def op5_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = settle(rules.document_counts(table(spark, sf_dir, "documents")), "counts")
