@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelweave.llm import exact, mixing, ordermin, packing, rules, secret_scan, sharding, toxicity, urls
+from labelweave.llm import exact, mixing, ordermin, packing, repeats, rules, secret_scan, sharding, toxicity, urls
 from labelweave.scratch import scratch_path, settle
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,12 @@ def op1_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_documents(docs, ledger).drop("blob")
 
 
+@query
+def op2_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @query
 def op3_quotient_filter_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
