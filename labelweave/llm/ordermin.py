@@ -8,11 +8,10 @@ that similarity stays within a band around the diagonal, and as labelled k-mers
 increasing run of matching places inside the band. Texts with equal words are one node from the start.
 
 Candidates are found without writing out all pairs of a bucket: every member is aligned with the bucket's
-first, links make components, and only buckets that then still hold several components are compared further,
-in blocks, for pairs that share at least two entries.
+first, links make components, and only buckets that then still hold several components are compared further:
+all pairs of different components, in blocks, of which only the links come out.
 
-At a similarity of 0.8 a pair shares a given entry with probability 0.8^5, so 1 in 300,000 pairs share none of
-32, and 1 in 20,000 share fewer than two.
+At a similarity of 0.8 a pair shares a given entry with probability 0.8^5, so 1 in 300,000 pairs share none of 32.
 
 Defined cases: a NULL text is empty; texts without words form one class; a text of one to four words has one
 k-mer of all its words; repeated rows are in one class; a class keeps the row with its smallest id, NULL last.
@@ -40,8 +39,9 @@ SIMILARITY = 0.8
 ENTRIES, TAKEN = 32, 5
 #: Documents of at most so many k-mers get further entries with fewer k-mers, as few edits change much there.
 SHORT, SHORT_ENTRIES, SHORT_TAKEN = 24, 12, 2
-#: Members of a bucket that are compared as one block.
-BLOCK = 256
+#: Members of a bucket that are compared as one block, and k-mers that are counted at a time.
+BLOCK = 512
+_COLUMNS = 4096
 
 _rng = np.random.default_rng(20_231)
 _ALL = ENTRIES + SHORT_ENTRIES
@@ -161,14 +161,14 @@ def longest_increasing(places: np.ndarray) -> int:
 def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
     """Matched over all k-mers of the best alignment inside the band of similarity ``least``; 0 if it cannot be."""
     total = len(a) + len(b)
-    if not len(a) or not len(b) or min(len(a), len(b)) < least * max(len(a), len(b)):
+    if not len(a) or not len(b) or min(len(a), len(b)) < least * max(len(a), len(b)) - 1e-9:
         return 0.0
     _, at_a, at_b = np.intersect1d(a, b, return_indices=True)
     # m matches leave total - 2m unmatched, and m >= least / (1 + least) * total.
     band = int(total * (1 - 2 * least / (1 + least))) + 1
     near = np.abs(at_a - at_b) <= band
     at_a, at_b = at_a[near], at_b[near]
-    if len(at_a) < least * (total - len(at_a)):
+    if len(at_a) < least * (total - len(at_a)) - 1e-9:
         return 0.0
     matched = longest_increasing(at_b[np.argsort(at_a)])
     return matched / (total - matched)
@@ -186,47 +186,71 @@ def _align_batches(least: float):
     return run
 
 
-def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of two blocks of a bucket in different components that share at least two entries."""
-    for batch in batches:
-        left: list[np.ndarray] = []
-        right: list[np.ndarray] = []
-        for same, members in zip(batch.column(0).to_pylist(), batch.column(1)):
-            members = members.values
-            node = members.field("node").to_numpy()
-            component = members.field("component").to_numpy()
-            side = members.field("side").to_numpy()
-            short = [np.frombuffer(x.as_py(), np.uint32) for x in members.field("short")]
-            entries = np.zeros((len(short), _ALL), np.uint32)
-            for i, s in enumerate(short):
-                entries[i, : len(s)] = s
-            if same:
-                x = y = np.arange(len(node))
-            else:
-                x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-            shared = np.zeros((len(x), len(y)), np.uint8)
-            for k in range(_ALL):
-                shared += (entries[x, k][:, None] == entries[y, k][None, :]) & (entries[x, k] != 0)[:, None]
-            hit = (shared >= 2) & (component[x][:, None] != component[y][None, :])
-            i, j = np.nonzero(hit)
-            a, b = node[x][i], node[y][j]
-            left.append(np.minimum(a, b))
-            right.append(np.maximum(a, b))
-        if left:
-            pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
-
-
-def _short_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        shorts = [
-            (np.asarray(x.values).view(np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes() for x in batch.column(1)
-        ]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shorts, pa.binary())], ["node", "short"])
+def block_links(
+    component: np.ndarray, sequences: list[np.ndarray], x: np.ndarray, y: np.ndarray, least: float
+) -> list[tuple[int, int]]:
+    """Places of pairs from ``x`` and ``y`` that are similar and join components not joined before.
 
+    Shared k-mers are counted for all pairs by matrix products; they bound the similarity from above, so only
+    pairs that may reach ``least`` are aligned, and of these only the ones still in different components.
+    """
+    counts = np.array([len(s) for s in sequences])
+    distinct = [np.unique(s) for s in sequences]
+    owner = np.repeat(np.arange(len(distinct)), [len(s) for s in distinct])
+    _, column, often = np.unique(np.concatenate(distinct), return_inverse=True, return_counts=True)
+    shared_column = often > 1
+    keep = shared_column[column]
+    owner, column = owner[keep], (np.cumsum(shared_column) - 1)[column[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    common = np.zeros((len(x), len(y)), np.float32)
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, _COLUMNS):
+        part = slice(*np.searchsorted(column, [a, a + _COLUMNS]))
+        has = np.zeros((len(sequences), _COLUMNS), np.float32)
+        has[owner[part], column[part] - a] = 1
+        common += has[x] @ has[y].T
+    total = counts[x][:, None] + counts[y][None, :]
+    may = (common * (1 + least) >= least * total - 1e-3) & (component[x][:, None] != component[y][None, :])
+    parent = {c: c for c in component.tolist()}
+
+    def find(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    links = []
+    for i, j in zip(*(k.tolist() for k in np.nonzero(may))):
+        i, j = int(x[i]), int(y[j])
+        one, two = find(int(component[i])), find(int(component[j]))
+        if one != two and aligned_similarity(sequences[i], sequences[j], least) >= least:
+            parent[two] = one
+            links.append((i, j))
+    return links
+
+
+def _block_batches(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for same, members in zip(batch.column(0).to_pylist(), batch.column(1)):
+                members = members.values
+                node = members.field("node").to_pylist()
+                side = members.field("side").to_numpy()
+                every = np.arange(len(node))
+                x, y = (every, every) if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+                sequences = [np.frombuffer(s.as_py(), np.uint32) for s in members.field("sequence")]
+                links = block_links(members.field("component").to_numpy(), sequences, x, y, least)
+                found += [(node[i], node[j]) for i, j in links]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"]
+            )
+
+    return run
 
-def _residual_pairs(members: DataFrame, nodes: DataFrame, components: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one bucket in different components that share at least two entries, compared in blocks."""
+
+def _residual_links(members: DataFrame, sequences: DataFrame, components: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) that the first members missed: buckets with several components, compared in blocks."""
     placed = members.join(components, "node", "left").select(
         "entry", "node", F.coalesce("component", "node").alias("component")
     )
@@ -238,24 +262,23 @@ def _residual_pairs(members: DataFrame, nodes: DataFrame, components: DataFrame)
         .select("entry", F.ceil(F.col("n") / BLOCK).alias("blocks")),
         "mixed",
     )
-    short = nodes.select("node", "sketch").mapInArrow(_short_entries, "node long, short binary")
-    inside = placed.join(mixed, "entry").join(short, "node")
+    inside = placed.join(mixed, "entry").join(sequences, "node")
     block = F.pmod(F.xxhash64("node"), F.col("blocks"))
     # Block i meets each block j: as side 0 of the pairs (i, j), i <= j, and as side 1 of the pairs (j, i), j < i.
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("_other")
-    dealt = inside.withColumn("_block", block).select("entry", "node", "component", "short", "_block", other)
+    dealt = inside.withColumn("_block", block).select("entry", "node", "component", "sequence", "_block", other)
     grouped = (
         dealt.withColumn("_i", F.least("_block", "_other"))
         .withColumn("_j", F.greatest("_block", "_other"))
         .groupBy("entry", "_i", "_j")
         .agg(
             F.collect_list(
-                F.struct("node", "component", (F.col("_block") > F.col("_other")).cast("int").alias("side"), "short")
+                F.struct("node", "component", (F.col("_block") > F.col("_other")).cast("int").alias("side"), "sequence")
             ).alias("members")
         )
         .select((F.col("_i") == F.col("_j")).alias("same"), "members")
     )
-    return grouped.mapInArrow(_block_pairs, "a long, b long").distinct()
+    return grouped.mapInArrow(_block_batches(least), "a long, b long").distinct()
 
 
 def near_duplicates(
@@ -308,16 +331,12 @@ def near_duplicates(
         "sequences",
     )
 
-    def aligned(pairs: DataFrame) -> DataFrame:
-        first = sequences.select(F.col("node").alias("a"), F.col("sequence").alias("first"))
-        second = sequences.select(F.col("node").alias("b"), F.col("sequence").alias("second"))
-        both = pairs.join(second, "b").join(first, "a").select("a", "b", "first", "second")
-        return both.mapInArrow(_align_batches(similarity), "a long, b long")
-
-    links = settle(aligned(pairs), "links")
+    first = sequences.select(F.col("node").alias("a"), F.col("sequence").alias("first"))
+    second = sequences.select(F.col("node").alias("b"), F.col("sequence").alias("second"))
+    both = pairs.join(second, "b").join(first, "a").select("a", "b", "first", "second")
+    links = settle(both.mapInArrow(_align_batches(similarity), "a long, b long"), "links")
     components = connected_components(links)
-    rest = settle(_residual_pairs(members.select("entry", "node"), nodes, components).join(pairs, ["a", "b"], "left_anti"), "rest")
-    more = settle(aligned(rest), "links")
+    more = settle(_residual_links(members.select("entry", "node"), sequences, components, similarity), "links")
     if not more.isEmpty():
         components = connected_components(links.unionByName(more))
     placed = nodes.join(components, "node", "left").select(
