@@ -75,10 +75,11 @@ def _count_batches(window: int):
 class PrefixPlan:
     """Group of each suffix: classes in order, each with a prefix length and the number of groups it needs."""
 
-    def __init__(self, counts: np.ndarray, limit: int):
+    def __init__(self, counts: np.ndarray, limit: int, window: int = WINDOW):
         self.parts = np.maximum(1, -(-counts // limit))
         # A class that needs more groups is told apart by more words.
         self.length = np.select([self.parts == 1, self.parts <= 64, self.parts <= 4096], [2, 4, 8], 16)
+        self.length = np.minimum(self.length, window)
         single = np.where(self.parts == 1, counts, limit)
         # Small classes share a group until it is full.
         filled = np.cumsum(single) // limit
@@ -88,8 +89,8 @@ class PrefixPlan:
     def groups(self, hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
         which = prefix_class(hashes, starts)
         out = self.first[which].copy()
-        for length in (4, 8, 16):
-            mine = np.flatnonzero(self.length[which] == length)
+        for length in np.unique(self.length[which]).tolist():
+            mine = np.flatnonzero((self.length[which] == length) & (self.parts[which] > 1))
             if len(mine):
                 prefix = window_hashes(hashes, length)[starts[mine]]
                 out[mine] += (prefix % self.parts[which[mine]].astype(np.uint64)).astype(np.int64)
@@ -323,7 +324,7 @@ def remove_repeats(
     for r in found:
         counts[r["at"]] = r["n"]
     size = found[0]["size"] if found else 0
-    plan = PrefixPlan(counts, group_suffixes)
+    plan = PrefixPlan(counts, group_suffixes, window)
     blocks = max(1, -(-size // block_bytes))
     ranges = max(16, -(-int(counts.sum()) // RANGE_SUFFIXES))
 
