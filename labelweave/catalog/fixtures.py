@@ -11,7 +11,7 @@ from labelweave.operators.annotate import (
     primary_label,
     project_taxonomy,
 )
-from labelweave.operators.split import spread_narrow_scan, stratified_split
+from labelweave.operators.split import spread, stratified_split
 from labelweave.functions.text import tokenize
 from labelweave.scratch import settle
 from labelweave.taxonomy import Taxonomy
@@ -30,10 +30,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def wanted_partitions(spark: SparkSession) -> int | None:
+    """Partitions to deal one-file tables into, where a session (bench, tests) sets it."""
+    found = spark.conf.get("spark.labelweave.textPartitions", None)
+    return int(found) if found else None
+
+
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents spread over all cores for work on their texts."""
+    """Documents for work on their texts, spread if the session asks for it."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return spread_narrow_scan(docs, "doc_id")
+    return spread(docs, "doc_id", wanted_partitions(spark))
 
 
 def annotations(spark: SparkSession, sf_dir: str, *, text: bool = True) -> DataFrame:
@@ -153,5 +159,5 @@ def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = docs.join(marks, "example_id").withColumn(
         "primary_label", primary_label(["quality", "toxic"])
     )
-    examples = spread_narrow_scan(settle(joined, "examples"), "example_id")
+    examples = spread(settle(joined, "examples"), "example_id", wanted_partitions(spark))
     return stratified_split(examples, "example_id", "primary_label").drop("primary_label")

@@ -506,7 +506,7 @@ def statements() -> dict[str, str]:
     ) + (
         "SELECT doc_id AS example_id, split, 'naive_bayes' AS model, label, label_pos::INTEGER AS label_pos, y::DOUBLE AS y, "
         "round(CASE WHEN v0 - v1 > 700 THEN 0.0 ELSE 1.0 / (1.0 + exp(v0 - v1)) END, 6)::DOUBLE AS score, "
-        "CASE WHEN v1 > v0 THEN 1.0 ELSE 0.0 END::DOUBLE AS pred FROM pair"
+        "CASE WHEN v1 > v0 THEN 1.0 ELSE 0.0 END::DOUBLE AS pred, round(v1, 4)::DOUBLE AS raw FROM pair"
     )
     sql["clip_non_negative"] = with_(TOKENS, WORDS, EMOTION, FLAGS, TOKEN_ROWS, LEX_SUMS) + (
         "SELECT doc_id, lex_dominant_index AS raw_index, greatest(lex_dominant_index, 0.0)::DOUBLE AS lex_dominant_index, "
@@ -514,11 +514,11 @@ def statements() -> dict[str, str]:
     )
     sql["naive_bayes_parameters"] = with_(
         _LABELLED, TOKENS,
-        "etok AS (SELECT doc_id, t, quality, toxic FROM tok JOIN exs ON exs.id = tok.doc_id)",
+        "etok AS (SELECT doc_id, t, quality, toxic FROM tok JOIN exs ON exs.id = tok.doc_id WHERE split = 'train')",
         "g1 AS (SELECT doc_id, unnest(t) AS term FROM etok)",
-        *vocabulary(1, max_vocab=200),
+        *vocabulary(1),
         "marks AS (SELECT id AS doc_id, 'quality' AS label, quality::INTEGER AS class FROM exs "
-        "UNION ALL SELECT id, 'toxic', toxic::INTEGER FROM exs)",
+        "WHERE split = 'train' UNION ALL SELECT id, 'toxic', toxic::INTEGER FROM exs WHERE split = 'train')",
         "cnt AS (SELECT label, class, term, count(*) AS s FROM g1 JOIN v1 USING (term) JOIN marks USING (doc_id) GROUP BY ALL)",
         "tot AS (SELECT label, class, sum(s) AS cs FROM cnt GROUP BY ALL)",
         "cls AS (SELECT label, class, count(*) AS n FROM marks GROUP BY ALL)",
@@ -575,7 +575,8 @@ def statements() -> dict[str, str]:
     )
     sql["evaluation_summary"] = with_(*DECIDED, CONFUSION, PER_LABEL, MICRO) + (
         "SELECT mic2.model, mic2.split, round(p, 6) AS micro_precision, round(r, 6) AS micro_recall, "
-        f"round({_ratio('2.0 * p * r', 'p + r')}, 6) AS micro_f1, round(mf, 6) AS macro_f1, "
+        f"round({_ratio('2.0 * p * r', 'p + r')}, 6) AS micro_f1, round(mp, 6) AS macro_precision, "
+        "round(mr, 6) AS macro_recall, round(mf, 6) AS macro_f1, "
         "round(h.v, 6) AS hamming_loss, round(a.v, 6) AS subset_accuracy FROM mic2 "
         "JOIN (SELECT model, split, avg(abs(y - pred)) AS v FROM canon GROUP BY ALL) h "
         "ON h.model = mic2.model AND h.split = mic2.split "
@@ -591,6 +592,7 @@ def statements() -> dict[str, str]:
 
     sql["feature_model_roundtrip"] = sql["feature_table"]
     sql["label_models_roundtrip"] = sql["scores_bayes"]
+    sql["resume_roundtrip"] = sql["scores_bayes"]
     sql["split_table_roundtrip"] = sql["stratified_split"]
     sql["scores_roundtrip"] = with_(*CHAIN, SCORES) + f"SELECT {score_columns} FROM scores"
     sql["thresholds_roundtrip"] = sql["tuned_thresholds"]

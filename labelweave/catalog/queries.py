@@ -329,8 +329,8 @@ def clip_non_negative_query(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def naive_bayes_parameters(spark: SparkSession, sf: str) -> DataFrame:
-    examples = with_tokens(fx.labelled_documents(spark, sf))
-    learned = settle(vocab.vocabularies(examples, "tokens", [1], max_vocab=200), "vocabulary")
+    examples = with_tokens(fx.labelled_documents(spark, sf).filter(F.col("split") == "train"))
+    learned = settle(vocab.vocabularies(examples, "tokens", [1]), "vocabulary")
     entries = vocab.tfidf_rows(examples, "example_id", "tokens", learned, 1).select(
         "example_id", "term", F.col("tf").alias("value")
     )
@@ -350,9 +350,13 @@ def _trained(spark: SparkSession, sf: str, family: str) -> tuple[DataFrame, trai
     return ready, fitted
 
 
+def _rounded_scores(df: DataFrame) -> DataFrame:
+    return rounded(rounded(df, "score"), "raw", digits=4)
+
+
 def _trained_scores(family: str) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return rounded(train.score_rows(*_trained(spark, sf, family)), "score")
+        return _rounded_scores(train.score_rows(*_trained(spark, sf, family)))
 
     return run
 
@@ -371,7 +375,7 @@ def label_models_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     ready, fitted = _trained(spark, sf, "naive_bayes")
     path = scratch_path(spark, "models")
     train.save_models(fitted, path)
-    return rounded(train.score_rows(ready, train.load_models(spark, path, "naive_bayes")), "score")
+    return _rounded_scores(train.score_rows(ready, train.load_models(spark, path, "naive_bayes")))
 
 
 # Scores, thresholds, metrics
@@ -478,7 +482,10 @@ def subset_accuracy(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def evaluation_summary(spark: SparkSession, sf: str) -> DataFrame:
     summary, _ = metrics.evaluate(_decided(spark, sf))
-    names = ["micro_precision", "micro_recall", "micro_f1", "macro_f1", "hamming_loss", "subset_accuracy"]
+    names = [
+        "micro_precision", "micro_recall", "micro_f1", "macro_precision", "macro_recall", "macro_f1",
+        "hamming_loss", "subset_accuracy",
+    ]
     return rounded(summary.select("model", "split", *names), *names)
 
 
@@ -558,7 +565,7 @@ def _workflow(spark: SparkSession, sf: str, out: str):
         pairs=fx.emotion_lexicon(spark, sf),
         vad=fx.vad_lexicon(spark, sf),
         emotions=TAXONOMY.emotions,
-        params=WorkflowParams(families=("logistic_regression", "linear_svm", "naive_bayes")),
+        params=WorkflowParams(),
     )
 
 
@@ -571,7 +578,7 @@ def workflow_metrics(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def train_from_files(spark: SparkSession, sf: str) -> DataFrame:
     emotions, vad = _lexicon_files(spark, sf)
-    params = WorkflowParams(families=("naive_bayes",), thresholds=TAXONOMY.thresholds)
+    params = WorkflowParams(thresholds=TAXONOMY.thresholds)
     result, _ = run_from_files(
         spark, _csv_shards(spark, sf), emotions, vad, scratch_path(spark, "run"), params=params
     )
@@ -583,7 +590,7 @@ def resume_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     out = scratch_path(spark, "run")
     _workflow(spark, sf, out)
     again = _workflow(spark, sf, out)
-    return again.scores
+    return _rounded_scores(again.scores.filter(F.col("model") == "naive_bayes"))
 
 
 @query

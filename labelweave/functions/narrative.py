@@ -1,6 +1,6 @@
 """Per-example summaries of scored labels, on an array column of label results.
 
-Each element is a struct (label_pos, label, score, pred, threshold, predicted), in label order.
+Each element is a struct (label_pos, label, score, pred, threshold, predicted, raw), in label order.
 """
 
 from __future__ import annotations
@@ -12,7 +12,12 @@ from pyspark.sql import functions as F
 
 
 def label_result(
-    position: Column, label: Column, score: Column, pred: Column, threshold: Column
+    position: Column,
+    label: Column,
+    score: Column,
+    pred: Column,
+    threshold: Column,
+    raw: Column | None = None,
 ) -> Column:
     """One array element; positive by score where there is one, else by the model's prediction."""
     predicted = F.when(score.isNotNull(), score >= threshold).otherwise(pred >= 0.5)
@@ -23,6 +28,7 @@ def label_result(
         pred.cast("double").alias("pred"),
         threshold.cast("double").alias("threshold"),
         F.coalesce(predicted, F.lit(False)).alias("predicted"),
+        (F.lit(None) if raw is None else raw).cast("double").alias("raw"),
     )
 
 

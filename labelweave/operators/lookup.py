@@ -16,7 +16,10 @@ def is_small(
     max_rows: int = MAX_BROADCAST_ROWS,
     max_bytes: int = MAX_BROADCAST_BYTES,
 ) -> bool:
-    """Measure ``df``: at most ``max_rows`` rows and ``max_bytes`` of values (stops counting there)."""
+    """Measure ``df`` by one aggregate: at most ``max_rows`` rows and ``max_bytes`` of values.
+
+    Pass a stored table; any other is computed once more.
+    """
     width = F.lit(0)
     for item in df.schema.fields:
         if isinstance(item.dataType, T.StringType):
@@ -25,7 +28,7 @@ def is_small(
             width = width + F.coalesce(F.octet_length(F.to_json(F.struct(item.name))), F.lit(0)) + 16
         else:
             width = width + 8
-    probe = df.select(width.cast("long").alias("bytes")).limit(max_rows + 1)
+    probe = df.select(width.cast("long").alias("bytes"))
     rows, size = probe.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     return rows <= max_rows and size <= max_bytes
 

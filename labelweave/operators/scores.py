@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 SCORES_SCHEMA = (
     "example_id long, split string, model string, label string, label_pos int, "
-    "y double, score double, pred double"
+    "y double, score double, pred double, raw double"
 )
 ENSEMBLE = "majority_vote"
 
@@ -46,23 +46,29 @@ def _models(scores: DataFrame, models: list[str] | None) -> list[str]:
 def prediction_join(scores: DataFrame, models: list[str] | None = None) -> DataFrame:
     """One row per (example, label) present in all models, with a score and pred column for each.
 
-    A grouped pivot: one shuffle for any number of models, in place of a join per model.
+    A grouped pivot: one shuffle for any number of models, in place of a join per model. A model that has
+    several rows for an example and label counts once; its largest score and prediction are taken.
     """
     missing = {"example_id", "label"} - set(scores.columns)
     if missing:
         raise ValueError(f"scores lack the key columns {sorted(missing)}")
     names = _models(scores, models)
-    columns = [F.count_if(F.col("model").isin(names)).alias("_present")]
+    columns = []
     for name in names:
         mine = F.col("model") == name
         columns += [
             F.max(F.when(mine, F.col("score"))).alias(f"score_{name}"),
             F.max(F.when(mine, F.col("pred"))).alias(f"pred_{name}"),
+            F.max(mine.cast("int")).alias(f"_has_{name}"),
         ]
     joined = scores.groupBy("example_id", "split", "label", "label_pos").agg(
         F.max("y").alias("y"), *columns
     )
-    return joined.filter(F.col("_present") == len(names)).drop("_present")
+    flags = [f"_has_{name}" for name in names]
+    every = F.lit(True)
+    for flag in flags:
+        every = every & (F.col(flag) == 1)
+    return joined.filter(every).drop(*flags)
 
 
 def vote_share(votes: list[Column]) -> Column:
@@ -77,6 +83,8 @@ def majority_vote(scores: DataFrame, models: list[str] | None = None) -> DataFra
     """Score rows of the ensemble: a model's score, or its 0/1 prediction if it has no score."""
     names = _models(scores, models)
     joined = prediction_join(scores, names)
+    # The ensemble has no raw value; the column is there where the models have one.
+    raw = [F.lit(None).cast("double").alias("raw")] if "raw" in scores.columns else []
     share = vote_share([F.coalesce(f"score_{m}", f"pred_{m}") for m in names])
     return joined.withColumn("score", share).select(
         "example_id",
@@ -87,6 +95,7 @@ def majority_vote(scores: DataFrame, models: list[str] | None = None) -> DataFra
         "y",
         "score",
         F.when(F.col("score") >= 0.5, 1.0).otherwise(0.0).alias("pred"),
+        *raw,
     )
 
 
@@ -106,8 +115,13 @@ def canonical_predictions(scores: DataFrame, thresholds: DataFrame) -> DataFrame
     )
 
 
-def prediction_columns(predictions: DataFrame, labels: list[str]) -> DataFrame:
-    """Wide view: one row per (example, split, model) with y and ``pred_<label>`` columns."""
+def prediction_columns(
+    predictions: DataFrame, labels: list[str], texts: DataFrame | None = None
+) -> DataFrame:
+    """Wide view: one row per (example, split, model) with y and ``pred_<label>`` columns.
+
+    ``texts`` (example_id, text) adds the text of each example.
+    """
     columns = []
     for label in labels:
         mine = F.col("label") == label
@@ -115,4 +129,7 @@ def prediction_columns(predictions: DataFrame, labels: list[str]) -> DataFrame:
             F.max(F.when(mine, F.col("y"))).alias(label),
             F.max(F.when(mine, F.col("pred"))).alias(f"pred_{label}"),
         ]
-    return predictions.groupBy("example_id", "split", "model").agg(*columns)
+    wide = predictions.groupBy("example_id", "split", "model").agg(*columns)
+    if texts is None:
+        return wide
+    return wide.join(texts.select("example_id", "text"), "example_id", "left")

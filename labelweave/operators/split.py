@@ -195,13 +195,9 @@ def ensure_partitions(df: DataFrame, target: int | None) -> DataFrame:
     return df.repartition(target) if target else df
 
 
-def spread_narrow_scan(df: DataFrame, key: str) -> DataFrame:
-    """Spread a scan with fewer splits than cores over all cores, clustered by ``key``.
+def spread(df: DataFrame, key: str, partitions: int | None) -> DataFrame:
+    """``df`` dealt into ``partitions`` by ``key``; unchanged without a number.
 
-    A corpus of many files has more splits than cores and is returned unchanged, so big inputs are
-    never shuffled here. When a small input is spread, later grouping by ``key`` reuses it.
+    For inputs of one or two files, which a scan cannot split. Later grouping by ``key`` reuses it.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, key)
+    return df.repartition(partitions, key) if partitions else df

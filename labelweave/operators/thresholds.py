@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelweave.operators.metrics import f1, ratio
-from labelweave.scratch import settle
 
 
 def clean_candidates(candidates: Sequence[float]) -> list[float]:
@@ -94,13 +93,17 @@ def tune_thresholds(
     validation: DataFrame,
     candidates: Sequence[float],
     configured: Mapping[str, float],
+    pairs: DataFrame | None = None,
 ) -> DataFrame:
-    """(model, label, threshold): tuned where the model has scores, else configured, else 0.5."""
+    """(model, label, threshold): tuned where the model has scores, else configured, else 0.5.
+
+    ``pairs`` are the (model, label) rows that need a threshold, by default those of ``validation``; pass
+    the ones of all scores, so that an empty validation split leaves the configured values in force.
+    """
     fallback = F.coalesce(setting(configured, F.col("label")), F.lit(0.5))
     grid = clean_candidates(candidates)
-    # Settled, because both sides of the join below come from this one pass over the scores.
-    counted = settle(reach_counts(validation, grid), "reached")
-    pairs = counted.select("model", "label").distinct()
+    counted = reach_counts(validation, grid)
+    pairs = (counted if pairs is None else pairs).select("model", "label").distinct()
     if not grid:
         return pairs.select("model", "label", fallback.alias("threshold"))
     best = best_thresholds(grid_from_counts(counted, grid)).select(

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, field
 from multiprocessing.pool import ThreadPool
 
@@ -46,9 +45,8 @@ class TrainParams:
     rf_subsample: float = 0.8
     seed: int = 42
     parallel_fits: int = 4
-    # Gradient steps do little work per row, trees and counts much more.
-    rows_per_step_task: int = 10_000
-    rows_per_task: int = 500
+    #: Partitions that the rows of a fit are dealt into by key; more for more rows.
+    fit_partitions: int = 8
 
 
 @dataclass
@@ -112,10 +110,10 @@ def _summary(family: str, model, params: TrainParams) -> dict[str, float]:
     return {"numTrees": float(params.rf_trees), "maxDepth": float(params.rf_depth)}
 
 
-def class_bounds(train: DataFrame, labels: list[str]) -> tuple[int, dict[str, float]]:
-    """Number of rows, and the labels with a single class; one narrow job for all labels."""
+def class_bounds(train: DataFrame, labels: list[str]) -> dict[str, float]:
+    """The labels with a single class, with that class; one narrow job for all labels."""
     bounds = [x for c in labels for x in (F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}"))]
-    row = train.agg(F.count(F.lit(1)).alias("rows"), *bounds).first()
+    row = train.agg(*bounds).first()
     found = {}
     for c in labels:
         low, high = row[f"lo_{c}"], row[f"hi_{c}"]
@@ -123,24 +121,26 @@ def class_bounds(train: DataFrame, labels: list[str]) -> tuple[int, dict[str, fl
             raise ValueError(f"no training rows for label {c!r}")
         if low == high:
             found[c] = float(low)
-    return row["rows"], found
+    return found
 
 
 def fit_family(
-    train: DataFrame, labels: list[str], family: str, params: TrainParams = TrainParams()
+    train: DataFrame,
+    labels: list[str],
+    family: str,
+    params: TrainParams = TrainParams(),
+    *,
+    key: str = "example_id",
 ) -> LabelModels:
     """Fit one model per label, several labels at a time over the same cached rows.
 
-    An iterative fit runs a job per step, so a small input is packed into few partitions first
-    (``coalesce`` never adds any and moves nothing over the network).
+    Rows are dealt into ``fit_partitions`` by key and ordered by it, so that bagging and summation do not
+    depend on the layout of the input.
     """
     check_family(family)
-    total, constants = class_bounds(train.select(*labels), labels)
-    stepwise = family in ("logistic_regression", "linear_svm")
-    per_task = params.rows_per_step_task if stepwise else params.rows_per_task
-    packed = max(1, math.ceil(total / per_task))
-    rows = train.select(input_column(family), *labels).coalesce(packed)
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    constants = class_bounds(train.select(*labels), labels)
+    dealt = train.select(key, input_column(family), *labels).repartition(params.fit_partitions, key)
+    rows = dealt.sortWithinPartitions(key).drop(key).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         open_labels = [c for c in labels if c not in constants]
 
@@ -158,20 +158,25 @@ def fit_family(
         rows.unpersist()
 
 
-def label_outputs(df: DataFrame, models: LabelModels) -> tuple[DataFrame, dict[str, tuple[Column, Column]]]:
-    """``df`` with the outputs of every label model, and per label its (score, pred) columns."""
+def label_outputs(
+    df: DataFrame, models: LabelModels
+) -> tuple[DataFrame, dict[str, tuple[Column, Column, Column]]]:
+    """``df`` with the outputs of every label model, and per label its (score, pred, raw) columns.
+
+    ``raw`` is the model's raw value for the positive class (the margin of an SVM); constants have none.
+    """
     result = df
-    columns: dict[str, tuple[Column, Column]] = {}
+    columns: dict[str, tuple[Column, Column, Column]] = {}
     for label in models.labels:
         if label in models.constants:
             value = F.lit(models.constants[label])
             score = F.lit(None).cast("double") if models.family == "linear_svm" else value
-            columns[label] = (score, value)
+            columns[label] = (score, value, F.lit(None).cast("double"))
             continue
         prefix = f"{models.family}_{label}"
         stage = models.models[label].copy()
         stage.setPredictionCol(f"pred_{prefix}")
-        stage.setRawPredictionCol("")
+        stage.setRawPredictionCol(f"raw_{prefix}")
         if models.family != "linear_svm":
             stage.setProbabilityCol(f"prob_{prefix}")
         result = stage.transform(result)
@@ -179,7 +184,8 @@ def label_outputs(df: DataFrame, models: LabelModels) -> tuple[DataFrame, dict[s
             score = F.lit(None).cast("double")
         else:
             score = positive_score(result, f"prob_{prefix}")
-        columns[label] = (score, F.col(f"pred_{prefix}"))
+        raw = positive_score(result, f"raw_{prefix}")
+        columns[label] = (score, F.col(f"pred_{prefix}"), raw)
     return result, columns
 
 
@@ -194,13 +200,14 @@ def score_rows(df: DataFrame, models: LabelModels, keep: tuple[str, ...] = ("exa
                 (F.col(label).cast("double") if label in df.columns else F.lit(None).cast("double")).alias("y"),
                 columns[label][0].alias("score"),
                 columns[label][1].alias("pred"),
+                columns[label][2].alias("raw"),
             )
             for i, label in enumerate(models.labels)
         ]
     )
     wide = applied.select(*keep, F.lit(models.family).alias("model"), entries.alias("_labels"))
     return wide.select(*keep, "model", F.inline("_labels")).select(
-        *keep, "model", "label", "label_pos", "y", "score", "pred"
+        *keep, "model", "label", "label_pos", "y", "score", "pred", "raw"
     )
 
 

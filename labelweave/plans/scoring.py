@@ -21,7 +21,7 @@ from labelweave.operators.train import (
     label_outputs,
     load_models,
 )
-from labelweave.sources.artifacts import models_present, read_scores, read_thresholds
+from labelweave.sources.artifacts import models_present, read_families, read_thresholds
 from labelweave.taxonomy import DESCRIPTORS
 
 
@@ -35,10 +35,11 @@ class ScoringBundle:
 
     @staticmethod
     def load(spark: SparkSession, out: str, families: list[str] | None = None) -> ScoringBundle:
-        """Load the given families, or all that have saved scores."""
+        """Load the given families, or those of the last run, in the order in which it voted."""
         if families is None:
-            saved = models_present(read_scores(spark, f"{out}/scores"))
-            families = [f for f in FAMILIES if f in saved]
+            saved = models_present(spark, f"{out}/scores")
+            wanted = read_families(spark, f"{out}/families") or FAMILIES
+            families = [f for f in wanted if f in saved]
         if not families:
             raise FileNotFoundError(f"no trained models under {out}")
         return ScoringBundle(
@@ -100,20 +101,20 @@ def score_table(
         rows = bundle.features.add_vector(rows, FEATURES)
     if COUNTS in inputs:
         rows = bundle.features.add_vector(rows, COUNTS, non_negative=True)
-    outputs: dict[str, dict[str, tuple[Column, Column]]] = {}
+    outputs: dict[str, dict[str, tuple[Column, Column, Column]]] = {}
     for family in used:
         rows, outputs[family] = label_outputs(rows, bundle.families[family])
 
     entries = []
     for position, label in enumerate(labels):
         if model == ENSEMBLE:
-            score = vote_share([F.coalesce(*outputs[f][label]) for f in used])
-            pred = F.when(score >= 0.5, 1.0).otherwise(0.0)
+            score = vote_share([F.coalesce(*outputs[f][label][:2]) for f in used])
+            pred, raw = F.when(score >= 0.5, 1.0).otherwise(0.0), None
         else:
-            score, pred = outputs[model][label]
+            score, pred, raw = outputs[model][label]
         entries.append(
             label_result(
-                F.lit(position), F.lit(label), score, pred, setting(limits, F.lit(label))
+                F.lit(position), F.lit(label), score, pred, setting(limits, F.lit(label)), raw
             )
         )
     results = F.col("predictions")

@@ -27,6 +27,7 @@ from labelweave.operators.train import (
     TrainParams,
     check_family,
     fit_family,
+    load_models,
     save_models,
     score_rows,
 )
@@ -108,6 +109,14 @@ def _land_examples(examples: DataFrame, out: str, table: str, params: WorkflowPa
     return examples.sparkSession.read.schema(examples.schema).parquet(path)
 
 
+def check_keys(examples: DataFrame) -> None:
+    """Raise if an ``example_id`` is missing or repeated; one aggregate over the keys."""
+    repeated = examples.groupBy("example_id").count().filter("count > 1 OR example_id IS NULL")
+    found = repeated.limit(1).collect()
+    if found:
+        raise ValueError(f"example_id {found[0]['example_id']!r} is missing or repeated")
+
+
 def run_workflow(
     spark: SparkSession,
     examples: DataFrame,
@@ -122,8 +131,9 @@ def run_workflow(
     """Train, score, tune and evaluate; everything lands under ``out``.
 
     ``examples`` has a unique ``example_id``, a ``text`` and one 0/1 column per label. A second
-    call with the same parameters reuses the saved features and the scores of finished families;
-    with other parameters it starts over. ``vad`` may be empty, its features are then 0.
+    call with the same parameters and the same rows reuses the saved features, the models and the scores
+    of finished splits; otherwise it starts over, and nothing of the earlier run stays. ``vad`` may be
+    empty, its features are then 0. A missing or repeated ``example_id`` raises an error.
 
     The split reads the examples three times, so they are landed first. Set ``land=False`` when they
     are a plain scan of stored files, and ``buckets`` to land them clustered by key, which makes the
@@ -132,8 +142,11 @@ def run_workflow(
     labels = list(labels)
     for family in params.families:
         check_family(family)
+    given = examples.select("example_id", "text", *labels)
+    check_keys(given)
+    contents = [artifacts.content_digest(table) for table in (given, pairs, vad)]
     settings = (labels, list(emotions), params.features, params.training, params.ratios,
-                params.stratify, params.seed, params.buckets)
+                params.stratify, params.seed, params.buckets, contents)
     # The fingerprint covers what shapes features and models, not which families were asked for.
     mark = artifacts.fingerprint(*settings)
     mark_path = f"{out}/fingerprint"
@@ -149,11 +162,14 @@ def run_workflow(
         model = FeatureModel.load(spark, f"{out}/models/features")
         landed = _open_examples(spark, examples, out, table, params)
     else:
-        chosen = ensure_partitions(examples.select("example_id", "text", *labels), params.partitions)
+        # Until all is saved the folder belongs to no run.
+        artifacts.write_fingerprint(spark, mark_path, "incomplete")
+        artifacts.clear_scores(spark, f"{out}/scores")
+        chosen = ensure_partitions(given, params.partitions)
         landed = _land_examples(chosen, out, table, params)
         divided = assign_splits(landed, labels, params)
         artifacts.write_splits(
-            divided.filter(F.col("split") == "test").select("text", *labels, "split"),
+            divided.filter(F.col("split") == "test").select("example_id", "text", *labels, "split"),
             f"{out}/holdout",
         )
         model = fit_features(_train_rows(divided), pairs, vad, list(emotions), params.features)
@@ -165,25 +181,31 @@ def run_workflow(
             feature_rows = artifacts.read_if_present(spark, f"{out}/features")
         else:
             feature_rows = measured.drop("text")
-        artifacts.write_fingerprint(spark, mark_path, mark)
+        # Features that were not saved cannot be resumed.
+        artifacts.write_fingerprint(spark, mark_path, mark if params.save_features else "unsaved")
 
     scores_path = f"{out}/scores"
-    if "features" in resumed:
-        done = artifacts.models_present(artifacts.read_scores(spark, scores_path))
-    else:
-        artifacts.clear_scores(spark, scores_path)
-        done = set()
+    # Scores are cleared when a run starts over and written after the models, so they vouch for those.
+    present = artifacts.folders(spark, scores_path, "model", "split")
+    wanted = {row["split"] for row in feature_rows.select("split").distinct().collect()}
+    if not params.include_train:
+        wanted.discard("train")
     plain = model.assemble(feature_rows, FEATURES)
     counts = model.assemble(feature_rows, COUNTS, non_negative=True)
     for family in params.families:
-        if family in done:
+        scored = {split for model, split in present if model == family}
+        missing = sorted(wanted - scored)
+        if scored:
             resumed.append(family)
+        if scored and not missing:
             continue
         rows = counts if family == "naive_bayes" else plain
-        fitted = fit_family(_train_rows(rows), labels, family, params.training)
-        save_models(fitted, f"{out}/models/{family}")
-        wanted = rows if params.include_train else rows.filter(F.col("split") != "train")
-        artifacts.write_scores(score_rows(wanted, fitted), scores_path)
+        if scored:
+            fitted = load_models(spark, f"{out}/models/{family}", family)
+        else:
+            fitted = fit_family(_train_rows(rows), labels, family, params.training)
+            save_models(fitted, f"{out}/models/{family}")
+        artifacts.write_scores(score_rows(rows.filter(F.col("split").isin(missing)), fitted), scores_path)
 
     families = list(params.families)
     skipped = []
@@ -199,7 +221,8 @@ def run_workflow(
 
     if params.auto_tune:
         tuned = tune_thresholds(
-            scores.filter(F.col("split") == "validation"), params.candidates, params.thresholds
+            scores.filter(F.col("split") == "validation"), params.candidates, params.thresholds,
+            scores.select("model", "label"),
         )
     else:
         configured = F.coalesce(setting(params.thresholds, F.col("label")), F.lit(0.5))
@@ -207,6 +230,7 @@ def run_workflow(
             "model", "label", configured.alias("threshold")
         )
     artifacts.write_thresholds(tuned, f"{out}/thresholds")
+    artifacts.write_families(spark, list(params.families), f"{out}/families")
     thresholds = artifacts.read_thresholds(spark, f"{out}/thresholds")
     summary, per_label = evaluate(canonical_predictions(scores, thresholds))
     artifacts.write_metrics(summary, per_label, f"{out}/metrics")
@@ -214,11 +238,13 @@ def run_workflow(
     samples = None
     if params.sample_size > 0:
         samples = f"{out}/samples"
-        test_keys = feature_rows.filter(F.col("split") == "test").select("example_id")
-        picked = sample_rows(test_keys, "example_id", params.sample_size, params.seed)
-        # The picked keys are as many as the configured sample size.
-        rows = landed.join(F.broadcast(picked), "example_id").select("text", *labels)
-        artifacts.write_samples(rows, samples)
+        holdout = artifacts.read_holdout(spark, f"{out}/holdout")
+        if holdout is None:
+            # Features are kept without texts; those of the test rows come from the examples.
+            test_keys = feature_rows.filter(F.col("split") == "test").select("example_id")
+            holdout = landed.join(test_keys, "example_id")
+        picked = sample_rows(holdout, "example_id", params.sample_size, params.seed)
+        artifacts.write_samples(picked.select("text", *labels), samples)
 
     return WorkflowResult(
         out, resumed, split_counts(feature_rows), scores, thresholds, summary, per_label,

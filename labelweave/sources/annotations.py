@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def read_annotation_csv(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
@@ -16,11 +17,16 @@ def read_annotation_csv(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """
     if not paths:
         raise ValueError("no annotation shard given")
-    shards = [
-        spark.read.options(header=True, multiLine=True, escape='"', quote='"').csv(path)
-        for path in paths
+    reader = lambda: spark.read.options(header=True, multiLine=True, escape='"', quote='"')
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for path in paths:
+        by_header.setdefault(tuple(reader().csv(path).columns), []).append(path)
+    # Files with one header are one scan; only different headers need a union.
+    scans = [
+        reader().schema(T.StructType([T.StructField(c, T.StringType()) for c in header])).csv(files)
+        for header, files in by_header.items()
     ]
-    return reduce(lambda left, right: left.unionByName(right), shards)
+    return reduce(lambda left, right: left.unionByName(right), scans)
 
 
 def write_annotation_csv(df: DataFrame, path: str) -> None:

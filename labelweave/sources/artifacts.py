@@ -8,6 +8,7 @@ from dataclasses import asdict, is_dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from labelweave.operators.metrics import metrics_report
 from labelweave.operators.scores import SCORES_SCHEMA
@@ -24,13 +25,29 @@ def read_if_present(spark: SparkSession, path: str, schema=None) -> DataFrame |
         raise
 
 
-def write_splits(df: DataFrame, path: str) -> None:
-    """One folder per split; only the splits in ``df`` are replaced."""
+def write_splits(df: DataFrame, path: str, *, only_given: bool = False) -> None:
+    """One folder per split, in place of all there was; ``only_given`` leaves other splits alone."""
     df.write.mode("overwrite").partitionBy("split").option(
-        "partitionOverwriteMode", "dynamic"
+        "partitionOverwriteMode", "dynamic" if only_given else "static"
     ).parquet(path)
 
 
+def folders(spark: SparkSession, path: str, *keys: str) -> set[tuple[str, ...]]:
+    """Values of the partition folders ``key=value/...`` below ``path``, listed without reading files.
+
+    Files that a write has finished are there; a folder without any does not count.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    pattern = "/".join([path.rstrip("/"), *(f"{key}=*" for key in keys), "part-*"])
+    root = hadoop.Path(pattern)
+    found = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(root) or []
+    values = set()
+    for status in found:
+        parts = status.getPath().toString().split("/")[-len(keys) - 1 : -1]
+        values.add(tuple(part.split("=", 1)[1] for part in parts))
+    return values
+
+
 def write_scores(scores: DataFrame, path: str) -> None:
     """The score table, a folder per model and split; only those in ``scores`` are replaced."""
     scores.write.mode("overwrite").partitionBy("model", "split").option(
@@ -49,15 +66,42 @@ def read_scores(spark: SparkSession, path: str) -> DataFrame | None:
     scores = read_if_present(spark, path)
     if scores is None:
         return None
-    columns = ["example_id", "split", "model", "label", "label_pos", "y", "score", "pred"]
-    return scores.select(*columns)
+    columns = ["example_id", "split", "model", "label", "label_pos", "y", "score", "pred", "raw"]
+    return scores.select(*[c for c in columns if c in scores.columns])
 
 
-def models_present(scores: DataFrame | None) -> set[str]:
-    """Model names in a saved score table; answered from its folder names."""
-    if scores is None:
-        return set()
-    return {row.model for row in scores.select("model").distinct().collect()}
+def models_present(spark: SparkSession, path: str) -> set[str]:
+    """Model names in the score table saved under ``path``, from its folder names."""
+    return {model for model, _ in folders(spark, path, "model", "split")}
+
+
+def write_families(spark: SparkSession, families: list[str], path: str) -> None:
+    """Families of a run, in the order in which the ensemble adds them."""
+    rows = list(enumerate(families))
+    spark.createDataFrame(rows, "place int, family string").coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_families(spark: SparkSession, path: str) -> list[str] | None:
+    try:
+        rows = spark.read.schema("place int, family string").json(path).orderBy("place").collect()
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    return [row["family"] for row in rows]
+
+
+def read_holdout(spark: SparkSession, path: str) -> DataFrame | None:
+    """The test rows with their texts and labels, if a run has saved them."""
+    return read_if_present(spark, path)
+
+
+def content_digest(df: DataFrame) -> list[str]:
+    """Row count and sum of row hashes: equal for equal rows in any order. One aggregate."""
+    names = sorted(df.columns)
+    hashed = F.xxhash64(*names).cast("decimal(20,0)")
+    row = df.agg(F.count(F.lit(1)), F.sum(hashed)).first()
+    return [*names, str(row[0]), str(row[1])]
 
 
 def write_metrics(summary: DataFrame, labels: DataFrame, path: str) -> None:

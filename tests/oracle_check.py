@@ -19,6 +19,7 @@ def make_session(cores: str = "8", partitions: str = "8") -> SparkSession:
         .appName("labelweave-tests")
         .config("spark.sql.shuffle.partitions", partitions)
         .config("spark.driver.memory", "8g")
+        .config("spark.labelweave.textPartitions", cores)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")

@@ -89,6 +89,5 @@ def test_partition_targets(spark):
     df = spark.range(10, numPartitions=2)
     assert split.ensure_partitions(df, None) is df
     assert split.ensure_partitions(df, 5).rdd.getNumPartitions() == 5
-    assert split.spread_narrow_scan(df, "id").rdd.getNumPartitions() == 8
-    wide = spark.range(10, numPartitions=16)
-    assert split.spread_narrow_scan(wide, "id") is wide
+    assert split.spread(df, "id", 8).rdd.getNumPartitions() == 8
+    assert split.spread(df, "id", None) is df

@@ -67,17 +67,17 @@ def style(spark, text, tokens, raw=None):
 
 
 def test_style_measures(spark):
-    got = style(spark, "OMG this is AMAZING!! I'm so excited!!!", ["omg", "amazing", "m", "excited"])
+    got = style(spark, "NOW the tram is LATE!! We're SO cold!!!", ["now", "tram", "late", "cold"])
     assert got == {
         "word_count": 4.0,
         "char_count": 39.0,
-        "avg_word_length": 4.5,
+        "avg_word_length": 3.75,
         "exclamation_count": 5.0,
         "question_count": 0.0,
         "multi_punct_count": 2.0,
         "all_caps_token_count": 0.0,
         "title_case_ratio": 0.0,
-        "uppercase_char_ratio": 11 / 39,
+        "uppercase_char_ratio": 10 / 39,
         "special_char_count": 6.0,
         "punctuation_density": 1.25,
         "digit_count": 0.0,

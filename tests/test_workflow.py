@@ -57,7 +57,8 @@ def test_scores_of_all_families(finished):
     for r in rows:
         assert r.pred in (0.0, 1.0)
         if r.model == "linear_svm":
-            assert r.score is None
+            assert r.score is None and (r.raw is None) == (r.label == "never")
+            assert r.raw is None or (r.raw > 0) == (r.pred == 1.0)
         else:
             assert 0.0 <= r.score <= 1.0
     cells = {}
@@ -135,11 +136,72 @@ def test_other_parameters_start_over(spark, inputs, tmp_path):
                       save_features=False, auto_tune=False, thresholds={"toxic": 0.3})
     third = run_workflow(spark, examples, LABELS, str(tmp_path), params=changed, **lexica)
     assert third.resumed == []
-    saved = artifacts.models_present(artifacts.read_scores(spark, f"{tmp_path}/scores"))
-    assert saved == {"naive_bayes"}
+    assert artifacts.models_present(spark, f"{tmp_path}/scores") == {"naive_bayes"}
     assert {r.label: r.threshold for r in third.thresholds.collect()} == {"quality": 0.5, "toxic": 0.3, "never": 0.5}
 
 
+def run_bayes(spark, inputs, out, examples=None, **changes):
+    params = replace(FAST, families=("naive_bayes",), sample_size=0, **changes)
+    return run_workflow(spark, inputs[0] if examples is None else examples, LABELS, str(out), params=params, **inputs[1])
+
+
+def test_train_scores_are_added_later(spark, inputs, tmp_path):
+    run_bayes(spark, inputs, tmp_path, include_train=False)
+    again = run_bayes(spark, inputs, tmp_path)
+    assert again.resumed == ["features", "naive_bayes"]
+    assert {r.split for r in again.scores.select("split").distinct().collect()} == {"train", "validation", "test"}
+    fresh = run_bayes(spark, inputs, f"{tmp_path}/fresh")
+    assert sorted(again.scores.collect()) == sorted(fresh.scores.collect())
+
+
+def test_other_rows_start_over(spark, inputs, tmp_path):
+    first = run_bayes(spark, inputs, tmp_path, inputs[0].filter("example_id % 2 = 0"))
+    fewer = first.counts.agg(F.sum("rows")).first()[0]
+    again = run_bayes(spark, inputs, tmp_path)
+    assert first.resumed == again.resumed == []
+    scored = again.scores.select("example_id").distinct().count()
+    assert scored == inputs[0].count() > fewer
+
+
+def test_unsaved_features_are_not_resumed(spark, inputs, tmp_path):
+    run_bayes(spark, inputs, tmp_path)
+    run_bayes(spark, inputs, tmp_path, features=FeatureParams(max_vocab=20, min_df=3), save_features=False)
+    again = run_bayes(spark, inputs, tmp_path, features=FeatureParams(max_vocab=20, min_df=3))
+    assert again.resumed == []
+    again = run_bayes(spark, inputs, tmp_path, features=FeatureParams(max_vocab=20, min_df=3))
+    assert again.resumed == ["features", "naive_bayes"]
+
+
+def test_no_split_of_an_earlier_run_stays(spark, inputs, tmp_path):
+    run_bayes(spark, inputs, tmp_path)
+    configured = {"toxic": 0.3}
+    again = run_bayes(spark, inputs, tmp_path, ratios=(0.8, 0.0, 0.2), thresholds=configured)
+    rows = spark.read.parquet(f"{tmp_path}/features").select("example_id", "split").collect()
+    assert len(rows) == inputs[0].count() and {r.split for r in rows} == {"train", "test"}
+    # Without validation rows the configured thresholds hold.
+    assert {r.label: r.threshold for r in again.thresholds.collect()} == {"quality": 0.5, "toxic": 0.3, "never": 0.5}
+
+
+def test_keys_must_be_unique(spark, inputs, tmp_path):
+    twice = inputs[0].unionByName(inputs[0].limit(1))
+    missing = inputs[0].withColumn("example_id", F.when(F.col("example_id") > 5, F.col("example_id")))
+    for bad in (twice, missing):
+        with pytest.raises(ValueError):
+            run_bayes(spark, inputs, tmp_path, bad)
+
+
+@pytest.mark.parametrize("family", ["random_forest"])
+def test_fits_do_not_depend_on_the_layout(spark, family):
+    rows = [(i, "train", Vectors.dense([float(i % 7), float(i % 3), 1.0]), float(i % 7 > i % 3)) for i in range(90)]
+    df = spark.createDataFrame(rows, ["example_id", "split", train.FEATURES, "a"])
+    params = TrainParams(rf_trees=7, rf_depth=4)
+    found = []
+    for layout in (df.coalesce(1), df.repartition(4), df.orderBy(F.desc("example_id")).repartition(32)):
+        fitted = fit_family(layout, ["a"], family, params)
+        found.append({r.example_id: r.score for r in score_rows(df, fitted).collect()})
+    assert found[0] == found[1] == found[2]
+
+
 def test_unknown_family(spark, inputs, tmp_path):
     examples, lexica = inputs
     with pytest.raises(ValueError):
