@@ -6,9 +6,10 @@ probabilities as uncertain as the ones it will meet. A category's threshold is t
 out-of-fold predictions.
 
 Text features are the words of a document and the first letters of its words, each counted once, as far as they
-are among the ``VOCABULARY`` terms that most documents of the sample have; an earlier probability is one more
-term, counted in twentieths, so vectors stay sparse. Models are fitted on a bounded sample of labelled rows
-(``max_rows``), and applied to every row without a shuffle.
+are among the ``VOCABULARY`` terms that most documents of the sample have. Models are logistic regressions
+whose features are scaled by their log odds in the training rows; the fits of one category (one for each fold
+and one on all rows) run as parallel tasks. They see a bounded sample of labelled rows (``max_rows``). Scoring
+covers every row, without a shuffle.
 
 Defined cases: a NULL or empty text has no features and gets the score of the intercept; rows without a label of
 a category take no part in its training; a category with one class in the sample gets that class's share as
@@ -17,16 +18,16 @@ constant probability; without labelled rows the probability is 0 and nothing is
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import CountVectorizerModel
-from pyspark.ml.functions import vector_to_array
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelweave.llm.rows import fresh
+from labelweave.llm.words import Texts, find_words, mix, span_hashes, text_chunks, word_hashes
 from labelweave.scratch import settle
 
 #: Letters at the start of a word that are a feature of their own.
@@ -35,65 +36,168 @@ START_LETTERS = 4
 VOCABULARY = 1 << 14
 MIN_DOCUMENTS = 3
 #: Labelled rows that models are fitted on, on average; fewer if there are fewer.
-MAX_ROWS = 20_000
+MAX_ROWS = 8_000
 FOLDS = 3
-#: Steps in which an earlier probability is given to a later model.
-PROBABILITY_STEPS = 20
-#: Partitions of the fitting rows, dealt by key, so that results do not depend on how the labels are stored.
-FIT_PARTITIONS = 4
 
 
-def terms(text: Column) -> Column:
-    """Distinct lower-case words and word starts of a text."""
-    words = F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+"))
-    words = F.filter(words, lambda w: w != "")
-    starts = F.transform(words, lambda w: F.concat(F.lit("^"), F.substring(w, 1, START_LETTERS)))
-    return F.concat(words, F.array_distinct(starts))
+def letters(text: Column) -> Column:
+    """The text in lower case, with one space for all that is no letter."""
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+", " ")
 
 
-def _told(category: int) -> str:
-    """Term of an earlier probability; no word has a tilde."""
-    return f"~{category}"
+def text_terms(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """Text and hash of each word and of each word's start."""
+    words = find_words(texts)
+    heads = np.flatnonzero((texts.data & 0xC0) != 0x80)  # first byte of each code point
+    after = np.searchsorted(heads, words.starts) + START_LETTERS
+    ends = np.append(heads, len(texts.data))[np.minimum(after, len(heads))]
+    starts = mix(span_hashes(texts.data, words.starts, np.minimum(ends, words.ends)), 9)
+    return np.concatenate([words.doc, words.doc]), np.concatenate([word_hashes(texts, words), starts])
 
 
-def _vectors(df: DataFrame, counter: CountVectorizerModel, term_column: str, earlier: Sequence[str], out: str) -> DataFrame:
-    """``df`` with the terms and earlier probabilities as a sparse vector."""
-    told = [
-        F.array_repeat(F.lit(_told(i)), F.round(F.col(p) * PROBABILITY_STEPS).cast("int"))
-        for i, p in enumerate(earlier)
-    ]
-    name = fresh(df, "_told")
-    counting = counter.copy().setInputCol(name).setOutputCol(out)
-    return counting.transform(df.withColumn(name, F.concat(F.col(term_column), *told))).drop(name)
-
-
-def _with_probability(
-    df: DataFrame,
-    model: LogisticRegressionModel | float,
-    counter: CountVectorizerModel,
-    term_column: str,
-    earlier: Sequence[str],
-    out: str,
-) -> DataFrame:
-    """``df`` with the model's probability of the category, from the terms and earlier probabilities."""
-    if isinstance(model, float):
-        return df.withColumn(out, F.lit(model))
-    vector, both = fresh(df, "_vector"), fresh(df, "_both")
-    model = model.copy().setFeaturesCol(vector).setProbabilityCol(both).setRawPredictionCol("").setPredictionCol("")
-    scored = model.transform(_vectors(df, counter, term_column, earlier, vector))
-    return scored.withColumn(out, vector_to_array(both)[1]).drop(vector, both)
-
-
-def _fit(
-    rows: DataFrame, counter: CountVectorizerModel, label: str, earlier: Sequence[str], reg: float
-) -> LogisticRegressionModel | float:
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
-    total = counts.get(0.0, 0) + counts.get(1.0, 0)
-    if not total or 0 in (counts.get(0.0, 0), counts.get(1.0, 0)):
-        return counts.get(1.0, 0) / total if total else 0.0
-    return LogisticRegression(
-        featuresCol="_vector", labelCol=label, regParam=reg, elasticNetParam=1.0, standardization=False, maxIter=15
-    ).fit(_vectors(rows, counter, "_terms", earlier, "_vector").select("_vector", label))
+def _term_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All columns but the text, and the distinct term hashes."""
+    for batch in batches:
+        for texts in text_chunks(batch.column(batch.num_columns - 1)):
+            doc, terms = text_terms(texts)
+            pairs = np.unique(np.stack([doc.astype(np.uint64), terms]), axis=1) if len(doc) else np.zeros((2, 0), np.uint64)
+            offsets = np.searchsorted(pairs[0], np.arange(len(texts) + 1)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(pairs[1].view(np.int64)))
+            rest = [c.slice(texts.first, len(texts)) for c in batch.columns[:-1]]
+            yield pa.RecordBatch.from_arrays([*rest, lists], [*batch.schema.names[:-1], "terms"])
+
+
+def vocabulary_ids(doc: np.ndarray, terms: np.ndarray, vocabulary: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct vocabulary places of each row: bounds (one more than rows) and places."""
+    if not len(vocabulary) or not len(terms):
+        return np.zeros(rows + 1, np.int64), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(vocabulary, terms), len(vocabulary) - 1)
+    hit = vocabulary[at] == terms
+    pairs = np.unique(doc[hit] * len(vocabulary) + at[hit])
+    return np.searchsorted(pairs, np.arange(rows + 1) * len(vocabulary)), pairs % len(vocabulary)
+
+
+@dataclass
+class LinearModel:
+    """Weights of the vocabulary, of the earlier probabilities, and an intercept."""
+
+    weights: np.ndarray
+    earlier: np.ndarray
+    intercept: float
+
+    def probability(self, bounds: np.ndarray, ids: np.ndarray, earlier: np.ndarray) -> np.ndarray:
+        sums = np.concatenate([[0.0], np.cumsum(self.weights[ids])]) if len(ids) else np.zeros(1)
+        margin = sums[bounds[1:]] - sums[bounds[:-1]] + earlier @ self.earlier + self.intercept
+        return 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
+
+
+def _minimize(value_and_slope, start: np.ndarray, steps: int = 25, memory: int = 8) -> np.ndarray:
+    """Limited-memory BFGS with step halving."""
+    x, (value, slope) = start, value_and_slope(start)
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        q, kept = slope.copy(), []
+        for s, y in reversed(pairs):
+            a = (s @ q) / (s @ y)
+            q -= a * y
+            kept.append(a)
+        q *= (pairs[-1][0] @ pairs[-1][1]) / (pairs[-1][1] @ pairs[-1][1]) if pairs else 1 / max(1.0, np.linalg.norm(slope))
+        for (s, y), a in zip(pairs, reversed(kept)):
+            q += (a - (y @ q) / (s @ y)) * s
+        rate, fall = 1.0, slope @ q
+        while rate > 1e-6:
+            tried = value_and_slope(x - rate * q)
+            if tried[0] <= value - 1e-4 * rate * fall:
+                break
+            rate /= 2
+        else:
+            break
+        moved, turned = -rate * q, tried[1] - slope
+        done = value - tried[0] < 1e-7 * max(1.0, abs(value))
+        x, (value, slope) = x + moved, tried
+        if done:
+            break
+        if moved @ turned > 1e-12:
+            pairs = [*pairs, (moved, turned)][-memory:]
+    return x
+
+
+def fit_linear(
+    bounds: np.ndarray, ids: np.ndarray, earlier: np.ndarray, y: np.ndarray, size: int, reg: float
+) -> LinearModel:
+    """Logistic regression on log-odds scaled terms and the earlier probabilities."""
+    n, k = len(y), earlier.shape[1]
+    if not n or y.min() == y.max():
+        share = float(y.mean()) if n else 0.0
+        margin = np.inf if share == 1 else -np.inf
+        return LinearModel(np.zeros(size), np.zeros(k), margin)
+    counts = np.diff(bounds)
+    positive = np.bincount(ids, weights=np.repeat(y, counts), minlength=size)
+    negative = np.bincount(ids, minlength=size) - positive
+    scale = np.log((positive + 1) / (y.sum() + 2)) - np.log((negative + 1) / (n - y.sum() + 2))
+
+    def value_and_slope(x: np.ndarray) -> tuple[float, np.ndarray]:
+        sums = np.concatenate([[0.0], np.cumsum((x[:size] * scale)[ids])])
+        margin = sums[bounds[1:]] - sums[bounds[:-1]] + earlier @ x[size:-1] + x[-1]
+        loss = np.logaddexp(0, margin) - y * margin
+        off = (1 / (1 + np.exp(-np.clip(margin, -500, 500))) - y) / n
+        slope = np.concatenate(
+            [scale * np.bincount(ids, weights=np.repeat(off, counts), minlength=size), off @ earlier, [off.sum()]]
+        )
+        slope[:-1] += reg * x[:-1]
+        return loss.mean() + reg / 2 * float(x[:-1] @ x[:-1]), slope
+
+    start = np.zeros(size + k + 1)
+    start[-1] = np.log(y.mean() / (1 - y.mean()))
+    x = _minimize(value_and_slope, start)
+    return LinearModel(x[:size] * scale, x[size:-1], float(x[-1]))
+
+
+_FITTED = "row long, p double, weights binary"
+
+
+def _id_batches(vocabulary: np.ndarray):
+    """The last column, distinct term hashes, as places in the vocabulary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(batch.num_columns - 1)
+            flat = lists.flatten().to_numpy().view(np.uint64)
+            doc = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            bounds, ids = vocabulary_ids(doc, flat, vocabulary, len(lists))
+            encoded = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], encoded], [*batch.schema.names[:-1], "ids"])
+
+    return run
+
+
+def _fit_model(size: int, folds: int, reg: float):
+    """Fit on the rows outside the model's fold; predict the fold, or give the weights if it has none."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        model = key[0].as_py()
+        table = table.combine_chunks().sort_by([("row", "ascending")])
+        lists = table["ids"].combine_chunks()
+        bounds = lists.offsets.to_numpy().astype(np.int64)
+        bounds, ids = bounds - bounds[0], lists.flatten().to_numpy()
+        earlier = np.array(table["earlier"].to_pylist(), float).reshape(len(lists), -1)
+        y = table["y"].to_numpy()
+        train = (table["fold"].to_numpy() != model) & ~np.isnan(y)
+        fitted = fit_linear(*_rows(bounds, ids, train), earlier[train], y[train], size, reg)
+        if model == folds:
+            packed = np.concatenate([fitted.weights, fitted.earlier, [fitted.intercept]])
+            return pa.table({"row": pa.array([None], pa.int64()), "p": pa.array([None], pa.float64()), "weights": [packed.tobytes()]})
+        held = table["fold"].to_numpy() == model
+        p = fitted.probability(*_rows(bounds, ids, held), earlier[held])
+        rows = table["row"].filter(pa.array(held))
+        return pa.table({"row": rows, "p": p, "weights": pa.nulls(len(p), pa.binary())})
+
+    return run
+
+
+def _rows(bounds: np.ndarray, ids: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    counts = np.diff(bounds)
+    return np.concatenate([[0], np.cumsum(counts[keep])]), ids[np.repeat(keep, counts)]
 
 
 def best_threshold(rows: DataFrame, label: str, probability: str, steps: int = 40) -> float:
@@ -113,20 +217,39 @@ def best_threshold(rows: DataFrame, label: str, probability: str, steps: int = 4
 
 @dataclass
 class ClassifierChain:
-    """Models in the order of their categories, and a threshold for each."""
+    """Models in the order of their categories, a threshold for each, and the hashes of the vocabulary."""
 
     categories: list[str]
-    models: list[LogisticRegressionModel | float]
-    thresholds: list[float]
-    counter: CountVectorizerModel
+    vocabulary: np.ndarray
+    models: list[LinearModel] = field(default_factory=list)
+    thresholds: list[float] = field(default_factory=list)
 
     def probabilities(self, df: DataFrame, text: str, names: Sequence[str]) -> DataFrame:
         """``df`` with a probability column for each category, named by ``names``."""
-        name = fresh(df, "_terms")
-        df = df.withColumn(name, terms(F.col(text)))
-        for i, model in enumerate(self.models):
-            df = _with_probability(df, model, self.counter, name, names[:i], names[i])
-        return df.drop(name)
+        name = fresh(df, "_letters")
+        columns = df.columns
+        schema = df.select(*columns).schema
+        for p in names:
+            schema = schema.add(p, "double")
+        ready = df.withColumn(name, letters(F.col(text)))
+        return ready.mapInArrow(_score_batches(self, list(names)), schema)
+
+
+def _score_batches(chain: ClassifierChain, names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = []
+            for texts in text_chunks(batch.column(batch.num_columns - 1)):
+                bounds, ids = vocabulary_ids(*text_terms(texts), chain.vocabulary, len(texts))
+                p = np.zeros((len(texts), 0))
+                for model in chain.models:
+                    p = np.column_stack([p, model.probability(bounds, ids, p)])
+                parts.append(p)
+            p = np.concatenate(parts) if parts else np.zeros((0, len(names)))
+            columns = [*batch.columns[:-1], *(pa.array(p[:, i]) for i in range(len(names)))]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], *names])
+
+    return run
 
 
 def fit_chain(
@@ -137,25 +260,29 @@ def fit_chain(
     text: str = "text",
     max_rows: int = MAX_ROWS,
     folds: int = FOLDS,
-    reg: float = 2e-4,
+    reg: float = 1e-3,
     seed: int = 0,
 ) -> ClassifierChain:
     """Chain over 0/1 label columns, in the order given.
 
     The sample and the folds follow a hash of the key, so reruns and other partitionings take the same rows.
+    The driver gets the vocabulary and one weight vector for each category.
     """
     n = labelled.select(key).count()
     share = min(1.0, max_rows / n) if n else 1.0
     digest = F.xxhash64(F.col(key), F.lit(seed))
     sample = labelled.filter(F.pmod(digest, F.lit(1_000_003)) < share * 1_000_003)
-    named = {f"_y{i}": F.col(c).cast("double") for i, c in enumerate(categories)}
+    labels = [F.col(c).cast("double").alias(f"y{i}") for i, c in enumerate(categories)]
     rows = sample.select(
-        terms(F.col(text)).alias("_terms"), F.pmod(F.shiftright(digest, 20), F.lit(folds)).alias("_fold"), digest.alias("_order"),
-        *[column.alias(name) for name, column in named.items()],
-    )
-    rows = settle(rows.repartition(FIT_PARTITIONS, "_order").sortWithinPartitions("_order"), "training")
+        F.monotonically_increasing_id().alias("row"),
+        F.pmod(F.shiftright(digest, 20), F.lit(folds)).cast("int").alias("fold"),
+        *labels,
+        letters(F.col(text)).alias("text"),
+    )
+    schema = "row long, fold int, " + "".join(f"y{i} double, " for i in range(len(categories))) + "terms array<long>"
+    rows = settle(rows.mapInArrow(_term_batches, schema), "training")
     found = (
-        rows.select(F.explode("_terms").alias("term"))
+        rows.select(F.explode("terms").alias("term"))
         .groupBy("term")
         .count()
         .filter(F.col("count") >= MIN_DOCUMENTS)
@@ -163,23 +290,25 @@ def fit_chain(
         .limit(VOCABULARY)
         .collect()
     )
-    words = [r["term"] for r in found] + [_told(i) for i in range(len(categories))]
-    counter = CountVectorizerModel.from_vocabulary(words, inputCol="_terms", outputCol="_vector")
-    chain = ClassifierChain(list(categories), [], [], counter)
+    chain = ClassifierChain(list(categories), np.sort(np.array([r["term"] for r in found], np.int64).view(np.uint64)))
+    encoded = rows.mapInArrow(_id_batches(chain.vocabulary), schema.replace("terms array<long>", "ids array<int>"))
+    told = settle(encoded, "encoded").select("*", F.array().cast("array<double>").alias("earlier"))
     for i in range(len(categories)):
-        label, name, earlier = f"_y{i}", f"_p{i}", [f"_p{j}" for j in range(i)]
-        known = rows.filter(F.col(label).isNotNull()).cache()
-        parts = []
-        for fold in range(folds):
-            model = _fit(known.filter(F.col("_fold") != fold), counter, label, earlier, reg)
-            parts.append(_with_probability(rows.filter(F.col("_fold") == fold), model, counter, "_terms", earlier, name))
-        chain.models.append(_fit(known, counter, label, earlier, reg))
-        known.unpersist()
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionByName(part)
-        rows = settle(out, "folds")
-        chain.thresholds.append(best_threshold(rows.filter(F.col(label).isNotNull()), label, name))
+        ready = told.select("row", "fold", F.coalesce(f"y{i}", F.lit(float("nan"))).alias("y"), "ids", "earlier")
+        each = ready.withColumn("model", F.explode(F.sequence(F.lit(0), F.lit(folds))))
+        fitted = settle(each.groupBy("model").applyInArrow(_fit_model(len(chain.vocabulary), folds, reg), _FITTED), "fitted")
+        packed = fitted.filter("weights IS NOT NULL").first()
+        if packed is None:
+            chain.models.append(LinearModel(np.zeros(len(chain.vocabulary)), np.zeros(i), -np.inf))
+            chain.thresholds.append(1.1)
+            continue
+        values = np.frombuffer(packed["weights"], float)
+        size = len(chain.vocabulary)
+        chain.models.append(LinearModel(values[:size], values[size:-1], float(values[-1])))
+        out = told.join(fitted.filter("row IS NOT NULL").select("row", "p"), "row")
+        told = settle(out.withColumn("earlier", F.concat("earlier", F.array("p"))), "folds").drop("p")
+        scored = told.select(f"y{i}", F.element_at("earlier", i + 1).alias("p")).filter(F.col(f"y{i}").isNotNull())
+        chain.thresholds.append(best_threshold(scored, f"y{i}", "p"))
     return chain
 
 
@@ -194,7 +323,7 @@ def score_documents(docs: DataFrame, chain: ClassifierChain, *, key: str = "doc_
 def keep_clean(docs: DataFrame, chain: ClassifierChain, *, text: str = "text") -> DataFrame:
     """``docs`` without the rows that the last category's model rejects; all columns stay."""
     names: list[str] = []
-    for c in chain.categories:
-        names.append(fresh(docs, f"_p_{c}"))
+    for i in range(len(chain.categories)):
+        names.append(fresh(docs, f"_p{i}"))
     scored = chain.probabilities(docs, text, names)
     return scored.filter(F.col(names[-1]) < chain.thresholds[-1]).select(*docs.columns)
