@@ -5,8 +5,8 @@ the categories before it; in training these are out-of-fold predictions, so a la
 probabilities as uncertain as the ones it will meet. A category's threshold is the one with the best F1 on its
 out-of-fold predictions.
 
-Text features are the words of a document and the first letters of its words, each counted once, as far as they
-are among the ``VOCABULARY`` terms that most documents of the sample have. Models are logistic regressions
+Text features are the words of a document and the first letters of its words, each counted once: all that
+``MIN_DOCUMENTS`` documents of the sample have, however many these are. Models are logistic regressions
 whose features are scaled by their log odds in the training rows; the fits of one category (one for each fold
 and one on all rows) run as parallel tasks. They see a bounded sample of labelled rows (``max_rows``). Scoring
 covers every row, without a shuffle.
@@ -32,8 +32,7 @@ from labelweave.scratch import settle
 
 #: Letters at the start of a word that are a feature of their own.
 START_LETTERS = 4
-#: Terms of the model, and documents of the sample that must have a term.
-VOCABULARY = 1 << 14
+#: Documents of the sample that must have a term of the model.
 MIN_DOCUMENTS = 3
 #: Labelled rows that models are fitted on, on average; fewer if there are fewer.
 MAX_ROWS = 8_000
@@ -286,11 +285,10 @@ def fit_chain(
         .groupBy("term")
         .count()
         .filter(F.col("count") >= MIN_DOCUMENTS)
-        .orderBy(F.desc("count"), "term")
-        .limit(VOCABULARY)
-        .collect()
+        .select("term")
+        .toArrow()
     )
-    chain = ClassifierChain(list(categories), np.sort(np.array([r["term"] for r in found], np.int64).view(np.uint64)))
+    chain = ClassifierChain(list(categories), np.sort(found["term"].to_numpy().view(np.uint64)))
     encoded = rows.mapInArrow(_id_batches(chain.vocabulary), schema.replace("terms array<long>", "ids array<int>"))
     told = settle(encoded, "encoded").select("*", F.array().cast("array<double>").alias("earlier"))
     for i in range(len(categories)):

@@ -326,6 +326,27 @@ def test_chain(docs):
     assert toxicity.keep_clean(table, one).count() == 302
 
 
+def _name(x: int) -> str:
+    """Six letters for each number; the first four are shared by 676 numbers."""
+    return "".join(chr(97 + x // 26**k % 26) for k in (5, 4, 3, 2, 1, 0))
+
+
+def test_chain_keeps_rare_terms(docs):
+    rng = np.random.default_rng(8)
+    frequent = rng.permuted(np.tile(np.arange(20_000), 6)).reshape(240, 500)  # more terms than 2^14, in about 6 documents
+    rare = [f"qua{chr(97 + k)}x" for k in range(12)]  # each in 4 toxic documents of the sample
+    rows = [(i, " ".join(map(_name, frequent[i])) + (f" {rare[i // 5 % 12]}" if i % 5 == 0 else "")) for i in range(240)]
+    plain = [" ".join(map(_name, words)) for words in rng.integers(0, 20_000, (12, 300))]
+    table = docs([*rows, *((1000 + k, t) for k, t in enumerate(plain)), *((2000 + k, f"{t} {rare[k]}") for k, t in enumerate(plain))])
+    labelled = table.filter("doc_id < 1000").select("doc_id", "text", (F.col("doc_id") % 5 == 0).cast("int").alias("toxic"))
+    chain = toxicity.fit_chain(labelled, ["toxic"])
+    texts = [set(t.split()) for _, t in rows]
+    counts = Counter(x for words in texts for x in words | {"^" + w[: toxicity.START_LETTERS] for w in words})
+    assert len(chain.vocabulary) == sum(n >= toxicity.MIN_DOCUMENTS for n in counts.values()) > 1 << 14
+    got = {r["doc_id"]: r["p_toxic"] for r in collect(toxicity.score_documents(table.filter("doc_id >= 1000"), chain))}
+    assert all(got[2000 + k] > got[1000 + k] for k in range(12))
+
+
 # Packing
 
 
