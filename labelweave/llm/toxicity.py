@@ -35,8 +35,10 @@ START_LETTERS = 4
 #: Documents of the sample that must have a term of the model.
 MIN_DOCUMENTS = 3
 #: Labelled rows that models are fitted on, on average; fewer if there are fewer.
-MAX_ROWS = 8_000
+MAX_ROWS = 20_000
 FOLDS = 3
+#: Term places that a fit handles at a time.
+BLOCK_PLACES = 1 << 18
 
 
 def letters(text: Column) -> Column:
@@ -76,6 +78,32 @@ def vocabulary_ids(doc: np.ndarray, terms: np.ndarray, vocabulary: np.ndarray, r
     return np.searchsorted(pairs, np.arange(rows + 1) * len(vocabulary)), pairs % len(vocabulary)
 
 
+def _blocks(bounds: np.ndarray) -> Iterator[tuple[int, int]]:
+    """First and last row of runs with about ``BLOCK_PLACES`` places."""
+    edges = np.searchsorted(bounds, np.arange(BLOCK_PLACES, bounds[-1], BLOCK_PLACES))
+    edges = np.unique([0, *edges, len(bounds) - 1])
+    return zip(edges[:-1], edges[1:])
+
+
+def row_sums(weights: np.ndarray, bounds: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Sum of the weights of each row's places."""
+    out = np.zeros(len(bounds) - 1)
+    for a, b in _blocks(bounds):
+        at = bounds[a : b + 1] - bounds[a]
+        sums = np.concatenate([[0.0], np.cumsum(weights[ids[bounds[a] : bounds[b]]])])
+        out[a:b] = sums[at[1:]] - sums[at[:-1]]
+    return out
+
+
+def place_sums(values: np.ndarray, bounds: np.ndarray, ids: np.ndarray, size: int) -> np.ndarray:
+    """Sum of the values of the rows that have each place."""
+    out = np.zeros(size)
+    for a, b in _blocks(bounds):
+        each = np.repeat(values[a:b], np.diff(bounds[a : b + 1]))
+        out += np.bincount(ids[bounds[a] : bounds[b]], weights=each, minlength=size)
+    return out
+
+
 @dataclass
 class LinearModel:
     """Weights of the vocabulary, of the earlier probabilities, and an intercept."""
@@ -85,8 +113,7 @@ class LinearModel:
     intercept: float
 
     def probability(self, bounds: np.ndarray, ids: np.ndarray, earlier: np.ndarray) -> np.ndarray:
-        sums = np.concatenate([[0.0], np.cumsum(self.weights[ids])]) if len(ids) else np.zeros(1)
-        margin = sums[bounds[1:]] - sums[bounds[:-1]] + earlier @ self.earlier + self.intercept
+        margin = row_sums(self.weights, bounds, ids) + earlier @ self.earlier + self.intercept
         return 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
 
 
@@ -130,19 +157,14 @@ def fit_linear(
         share = float(y.mean()) if n else 0.0
         margin = np.inf if share == 1 else -np.inf
         return LinearModel(np.zeros(size), np.zeros(k), margin)
-    counts = np.diff(bounds)
-    positive = np.bincount(ids, weights=np.repeat(y, counts), minlength=size)
-    negative = np.bincount(ids, minlength=size) - positive
+    positive, negative = (place_sums(v, bounds, ids, size) for v in (y, 1 - y))
     scale = np.log((positive + 1) / (y.sum() + 2)) - np.log((negative + 1) / (n - y.sum() + 2))
 
     def value_and_slope(x: np.ndarray) -> tuple[float, np.ndarray]:
-        sums = np.concatenate([[0.0], np.cumsum((x[:size] * scale)[ids])])
-        margin = sums[bounds[1:]] - sums[bounds[:-1]] + earlier @ x[size:-1] + x[-1]
+        margin = row_sums(x[:size] * scale, bounds, ids) + earlier @ x[size:-1] + x[-1]
         loss = np.logaddexp(0, margin) - y * margin
         off = (1 / (1 + np.exp(-np.clip(margin, -500, 500))) - y) / n
-        slope = np.concatenate(
-            [scale * np.bincount(ids, weights=np.repeat(off, counts), minlength=size), off @ earlier, [off.sum()]]
-        )
+        slope = np.concatenate([scale * place_sums(off, bounds, ids, size), off @ earlier, [off.sum()]])
         slope[:-1] += reg * x[:-1]
         return loss.mean() + reg / 2 * float(x[:-1] @ x[:-1]), slope
 

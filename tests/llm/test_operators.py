@@ -347,6 +347,24 @@ def test_chain_keeps_rare_terms(docs):
     assert all(got[2000 + k] > got[1000 + k] for k in range(12))
 
 
+def test_chain_takes_20000_rows(docs):
+    # Each of 4,000 words is in three of 12,000 labelled rows, so a row that is left out takes its word with it.
+    table = docs([(i, _name(i // 3 * 676)) for i in range(12_000)])
+    labelled = table.select("doc_id", "text", (F.col("doc_id") % 4 == 0).cast("int").alias("toxic"))
+    assert len(toxicity.fit_chain(labelled, ["toxic"]).vocabulary) == 8_000
+
+
+def test_sums_in_blocks(monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK_PLACES", 7)
+    rng = np.random.default_rng(9)
+    counts = np.array([0, 3, 20, 0, 1, 7, 7, 0, 2, 0])
+    bounds, ids = np.concatenate([[0], np.cumsum(counts)]), rng.integers(0, 15, 40).astype(np.int32)
+    weights, values, at = rng.random(15), rng.random(10), np.repeat(np.arange(10), counts)
+    assert np.allclose(toxicity.row_sums(weights, bounds, ids), np.bincount(at, weights=weights[ids], minlength=10))
+    assert np.allclose(toxicity.place_sums(values, bounds, ids, 15), np.bincount(ids, weights=values[at], minlength=15))
+    assert not toxicity.row_sums(weights, np.zeros(4, int), ids[:0]).any()
+
+
 # Packing
 
 
