@@ -465,6 +465,21 @@ def statements() -> dict[str, str]:
         + " ".join(f"LEFT JOIN s{n} ON s{n}.doc_id = exs.id" for n in (1, 2, 3))
         + " JOIN lexf ON lexf.doc_id = exs.id JOIN vadf ON vadf.doc_id = exs.id JOIN styf ON styf.doc_id = exs.id"
     )
+    # The same for all documents: the terms are those of the train rows, the split is NULL without a label.
+    of_labelled = "ltok AS (SELECT tok.* FROM tok JOIN exs ON exs.id = tok.doc_id)"
+    every_document = "(SELECT d.doc_id AS id, split FROM documents d LEFT JOIN exs ON exs.id = d.doc_id) AS exs"
+    shared, _, last = sql["feature_table"].rpartition("SELECT exs.id AS example_id")
+    sql["feature_table_all"] = (
+        shared.replace(of_labelled, "ltok AS (SELECT * FROM tok)")
+        + "SELECT exs.id AS example_id"
+        + last.replace(" FROM exs ", f" FROM {every_document} ")
+    )
+    sql["feature_model_roundtrip_all"] = sql["feature_table_all"]
+    sql["tfidf_long_all"] = with_(*every) + " UNION ALL ".join(
+        f"SELECT doc_id, {n}::INTEGER AS n, term, count(*)::DOUBLE AS tf, "
+        f"round(count(*) * any_value({_idf(total)}), 6) AS tfidf FROM g{n} JOIN v{n} USING (term) GROUP BY doc_id, term"
+        for n in (1, 2, 3)
+    )
     scalars = [f"greatest({name}, 0.0::DOUBLE) AS {name}" for name in _names(LEX_COLUMNS)]
     scalars += _names(VAD_COLUMNS) + STYLE_FEATURES
     size = f"({fixed} + " + " + ".join(f"(SELECT count(*) FROM v{n})" for n in (1, 2, 3)) + ")"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -270,6 +271,18 @@ def tfidf_long(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(vocab.tfidf_rows(docs, "doc_id", "tokens", learned, 1), "tfidf")
 
 
+@query
+def tfidf_long_all(spark: SparkSession, sf: str) -> DataFrame:
+    """``tfidf_long`` for all orders."""
+    docs = _token_table(spark, sf)
+    learned = settle(vocab.vocabularies(docs, "tokens", [1, 2, 3]), "vocabulary")
+    rows = [
+        vocab.tfidf_rows(docs, "doc_id", "tokens", learned, n).select("doc_id", F.lit(n).alias("n"), "term", "tf", "tfidf")
+        for n in (1, 2, 3)
+    ]
+    return rounded(reduce(DataFrame.unionByName, rows), "tfidf")
+
+
 # Feature table and training
 
 
@@ -315,6 +328,27 @@ def feature_model_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded_features(FeatureModel.load(spark, path), examples)
 
 
+def _every_document(spark: SparkSession, sf: str, examples: DataFrame) -> DataFrame:
+    """All documents; those without a label have no split."""
+    docs = fx.texts(spark, sf).withColumnRenamed("doc_id", "example_id")
+    return docs.join(examples.select("example_id", "split"), "example_id", "left")
+
+
+@query
+def feature_table_all(spark: SparkSession, sf: str) -> DataFrame:
+    """``feature_table`` for all documents, by the model of the labelled train rows."""
+    examples, model = _fitted(spark, sf)
+    return _rounded_features(model, _every_document(spark, sf, examples))
+
+
+@query
+def feature_model_roundtrip_all(spark: SparkSession, sf: str) -> DataFrame:
+    examples, model = _fitted(spark, sf)
+    path = scratch_path(spark, "feature_model")
+    model.save(path)
+    return _rounded_features(FeatureModel.load(spark, path), _every_document(spark, sf, examples))
+
+
 @query
 def clip_non_negative_query(spark: SparkSession, sf: str) -> DataFrame:
     measured = lexicon.lexicon_measures(

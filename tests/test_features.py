@@ -171,3 +171,24 @@ def test_missing_texts_are_measured_as_empty(spark, model):
     rows = {r.example_id: r for r in model.transform(df).collect()}
     assert rows[1].text is None and rows[2].text == ""
     assert rows[1].features == rows[2].features
+
+
+def test_all_documents_get_features(spark, sf_dir):
+    from __spark_entry__ import queries
+
+    known = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").collect()
+    marked = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id").collect()
+    rows = queries()["feature_table_all"](spark, sf_dir).collect()
+    assert sorted(r.example_id for r in rows) == sorted(r.doc_id for r in known)
+    assert {r.example_id for r in rows if r.split} == {r.doc_id for r in marked} < {r.doc_id for r in known}
+    some = [tuple(r) for r in queries()["feature_table"](spark, sf_dir).collect()]
+    assert sorted(some, key=repr) == sorted((tuple(r) for r in rows if r.split), key=repr)
+    assert any(r.tfidf_1gram_sum for r in rows if not r.split)
+
+
+def test_weights_of_all_orders(spark, sf_dir):
+    from __spark_entry__ import queries
+
+    rows = queries()["tfidf_long_all"](spark, sf_dir)
+    assert {r.n for r in rows.select("n").distinct().collect()} == {1, 2, 3}
+    assert all(len(r.term.split(" ")) == r.n for r in rows.filter("n > 1").limit(200).collect())
