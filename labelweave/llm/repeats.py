@@ -1,10 +1,11 @@
-"""Substring dedup by prefix-partitioned suffix trees.
+"""Substring dedup by windows of words, partitioned by prefixes.
 
 A suffix starts at each word that has ``window`` words of its document from there on; its head is those words.
 Suffixes are partitioned by prefixes of variable length: counts of all suffixes by a two-word prefix decide how
-many words of prefix a group needs, so that every group fits in memory. A group's subtree is built by sorting
-its suffixes; its nodes as deep as a head, with more than one suffix, are the repeats. All occurrences but the
-first (smallest id, then earliest start) are removed, and runs of removed windows are the maximal repeats.
+many words of prefix a group needs, so that every group fits in memory. A group is sorted by the hashes of its
+heads, in place of a suffix tree: equal heads are the repeats, and nothing deeper than a window is compared. All
+occurrences but the first (smallest id, then earliest start) are removed. Runs of removed windows are given as
+spans; a run can join repeats with different first places, so it need not be one maximal repeat.
 
 Three things keep the volume small, and lose nothing:
 
@@ -236,7 +237,7 @@ def _block_suffixes(window: int, plan: PrefixPlan):
 
 
 def _subtree(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Suffixes of deep nodes with an earlier suffix, back to their blocks."""
+    """Suffixes whose head an earlier suffix has, back to their blocks."""
     parts: list[tuple[np.ndarray, ...]] = []
     for batch in batches:
         for b, one, two, doc, place in zip(batch["block"].to_pylist(), *(batch[c] for c in ("one", "two", "doc", "place"))):
