@@ -147,6 +147,10 @@ def feature_columns() -> dict[str, Column]:
     }
 
 
+#: Smallest share of the rows that a threshold parts off; quantiles are exact to half of it.
+TAIL_SHARE = 1 / (1 << 16)
+
+
 @dataclass(frozen=True)
 class Condition:
     feature: str
@@ -196,7 +200,8 @@ def learn_decision_list(
 ) -> DecisionList:
     """Rules for the rows with ``bad``, by sequential covering over all labelled rows.
 
-    Thresholds lie half-way between quantiles of each feature. A rule is taken if at least ``min_covered`` rows of both parts
+    Thresholds lie half-way between quantiles of each feature. The first and last of the ``bins`` are halved again and
+    again, down to a share of ``TAIL_SHARE`` of the rows, as junk lies in the tails. A rule is taken if at least ``min_covered`` rows of both parts
     are bad and covered, and ``min_precision`` of the covered rows are bad on the pruning part.
     """
     names = list(features)
@@ -206,9 +211,12 @@ def learn_decision_list(
         (F.pmod(F.xxhash64(*labelled.columns, F.lit(seed)), F.lit(3000)) < int(3000 * grow_share)).alias("_grow"),
         *[features[n].alias(n) for n in names],
     ).filter("_bad IS NOT NULL")
-    quantiles = [i / bins for i in range(1, bins)]
+    tails = []
+    while (tails[-1] if tails else 1 / bins) > TAIL_SHARE:
+        tails.append((tails[-1] if tails else 1 / bins) / 2)
+    quantiles = sorted({0.0, *tails, *[i / bins for i in range(1, bins)], *[1 - t for t in tails], 1.0})
     found = rows.select(
-        *[F.percentile_approx(n, [0.0, *quantiles, 1.0], 10_000).alias(n) for n in names]
+        *[F.percentile_approx(n, quantiles, int(2 / TAIL_SHARE)).alias(n) for n in names]
     ).first()
     # Half-way between values, so that a rule does not lean on the exact values seen.
     cuts = {}
@@ -241,7 +249,7 @@ def learn_decision_list(
             .groupBy("_bad", "_grow", "feature", "bin")
             .agg(F.sum("count").alias("n"))
         )
-        out = {(n, g): np.zeros((2, bins + 2)) for n in names for g in (False, True)}
+        out = {(n, g): np.zeros((2, len(cuts[n]) + 1)) for n in names for g in (False, True)}
         for r in counted.collect():  # at most 4 * features * bins rows
             out[r["feature"], r["_grow"]][int(r["_bad"]), r["bin"]] += r["n"]
         return out

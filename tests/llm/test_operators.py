@@ -253,6 +253,16 @@ def test_decision_list(spark, docs):
     assert counts.filter("doc_id >= 900").select("n_words", "n_lines").distinct().collect() == [(0, 0)]
 
 
+def test_decision_list_parts_tails(spark):
+    # Of 8,000 rows the last 1/64 holds good rows below and one good row far above the 60 bad ones.
+    values = [(i / 80_000, False) for i in range(7_899)] + [(0.3, False)] * 40 + [(1.0, True)] * 60 + [(50.0, False)]
+    for sign in (1, -1):
+        labelled = spark.createDataFrame([(i, sign * x, bad) for i, (x, bad) in enumerate(values)], "doc_id long, x double, bad boolean")
+        learned = rules.learn_decision_list(labelled, {"x": F.col("x")}, F.col("bad"))
+        named = labelled.filter(learned.reason({"x": F.col("x")}).isNotNull()).groupBy("bad").count().collect()
+        assert {r["bad"]: r["count"] for r in named}[True] == 60 and sum(r["count"] for r in named) <= 61
+
+
 # Mixing
 
 
