@@ -11,7 +11,8 @@ from labelweave.taxonomy import DESCRIPTORS
 
 
 def table(spark, rows):
-    return spark.createDataFrame(rows, SCORES_SCHEMA)
+    """Score rows, whose last field ``raw`` may be left out."""
+    return spark.createDataFrame([(*r, None) if len(r) == 8 else r for r in rows], SCORES_SCHEMA)
 
 
 def votes(spark, *cells):
