@@ -96,8 +96,10 @@ def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Texts]:
         row = end
 
 
-def find_words(texts: Texts) -> Words:
-    inside = ~IS_SPACE[texts.data]
+def find_words(texts: Texts, inside: np.ndarray | None = None) -> Words:
+    """Runs of the bytes marked by ``inside``, by default all that is no white space."""
+    if inside is None:
+        inside = ~IS_SPACE[texts.data]
     starts_here = inside.copy()
     starts_here[1:] &= ~inside[:-1]
     ends_here = inside.copy()
