@@ -85,21 +85,29 @@ def _shard(shards: int) -> str:
 
 
 # The CRC table follows from its rule; a byte at a time is folded in.
-OP10 = f"""
-WITH RECURSIVE step(i, k, c) AS (
+_CRC_TABLE = """step(i, k, c) AS (
   SELECT CAST(range AS BIGINT), 0, CAST(range AS BIGINT) FROM range(256)
   UNION ALL
   SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM step WHERE k < 8
 ), crc AS (SELECT list(c ORDER BY i) AS t FROM step WHERE k = 8
-), rows AS MATERIALIZED (
+)"""
+
+
+def _crc32(digits: str) -> str:
+    """CRC-32 of the bytes given by hexadecimal digits."""
+    return f"""CAST(xor(list_reduce(
+      list_prepend(4294967295::BIGINT,
+        list_transform(range(1, length({digits}) // 2 + 1),
+          lambda i: ('0x' || substr({digits}, 2 * i - 1, 2))::BIGINT)),
+      lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS BIGINT)"""
+
+
+OP10 = f"""
+WITH RECURSIVE {_CRC_TABLE}, rows AS MATERIALIZED (
   SELECT doc_id, hex(encode(coalesce(text, ''))) AS digits FROM documents
 ), sized AS (
   SELECT doc_id, CAST(length(digits) // 2 + 1 AS BIGINT) AS size,
-    CAST(xor(list_reduce(
-      list_prepend(4294967295::BIGINT,
-        list_transform(range(1, length(digits) // 2 + 1),
-          lambda i: ('0x' || substr(digits, 2 * i - 1, 2))::BIGINT)),
-      lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS BIGINT) AS text_crc32,
+    {_crc32("digits")} AS text_crc32,
     'key' AS law, {_shard(8)} AS shard, {_shard(9)} AS grown_shard
   FROM rows, crc
 )
@@ -107,4 +115,53 @@ SELECT *, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, tex
 FROM sized
 """
 
-STATEMENTS = {"op1_secret_ledger": OP1, "op3_quotient_filter_dedup": OP3, "op9_url_cascade": OP9, "op10_rendezvous_shards": OP10}
+
+def _words(text: str) -> str:
+    lower = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"regexp_extract_all({lower}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+OP13 = f"""
+WITH RECURSIVE {_CRC_TABLE}, docs AS MATERIALIZED (
+  SELECT doc_id, {_words("text")} AS w FROM documents
+), target AS MATERIALIZED (
+  SELECT unnest({_words("text")}) AS word FROM benchmark
+), features AS MATERIALIZED (
+  SELECT doc_id, unnest(w) AS word FROM docs
+), vocabulary AS (
+  SELECT DISTINCT word, hex(encode(word)) AS digits FROM (SELECT word FROM features UNION SELECT word FROM target)
+), hashed AS MATERIALIZED (
+  SELECT word, {_crc32("digits")} % 10000 AS bucket FROM vocabulary, crc
+), corpus AS (SELECT bucket, count(*) AS s FROM features JOIN hashed USING (word) GROUP BY bucket
+), wanted AS (SELECT bucket, count(*) AS t FROM target JOIN hashed USING (word) GROUP BY bucket
+), sizes AS (
+  SELECT (SELECT coalesce(sum(s), 0) FROM corpus)::DOUBLE AS total_s, (SELECT coalesce(sum(t), 0) FROM wanted)::DOUBLE AS total_t
+), gains AS MATERIALIZED (
+  SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * (total_s + 10000)
+    / ((coalesce(s, 0)::DOUBLE + 1) * (total_t + 10000)))) AS BIGINT) AS gain
+  FROM (SELECT range AS bucket FROM range(10000)) LEFT JOIN corpus USING (bucket) LEFT JOIN wanted USING (bucket), sizes
+), sums AS (
+  SELECT doc_id, sum(gain) AS total FROM features JOIN hashed USING (word) JOIN gains USING (bucket) GROUP BY doc_id
+), scored AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_features,
+    CAST(coalesce(floor(total::DOUBLE / len(w)), 0) AS BIGINT) AS weight,
+    CAST(floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE)
+      / 4294967296::DOUBLE))) AS BIGINT) AS noise
+  FROM docs LEFT JOIN sums USING (doc_id)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY weight + noise DESC, doc_id) AS place,
+    count(*) OVER (PARTITION BY n_features >= 20) AS ready
+  FROM scored
+)
+SELECT doc_id, n_features, weight, weight + noise AS score,
+  CASE WHEN n_features >= 20 AND place <= 10 * ready // 100 THEN place END AS rank
+FROM placed
+"""
+
+STATEMENTS = {
+    "op1_secret_ledger": OP1,
+    "op3_quotient_filter_dedup": OP3,
+    "op9_url_cascade": OP9,
+    "op10_rendezvous_shards": OP10,
+    "op13_bracketed_resampling": OP13,
+}

@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelweave.llm import exact, mixing, ordermin, packing, repeats, rules, secret_scan, sharding, toxicity, urls
+from labelweave.llm import (
+    exact,
+    mixing,
+    ordermin,
+    packing,
+    repeats,
+    resample,
+    rules,
+    secret_scan,
+    sharding,
+    tokens,
+    toxicity,
+    urls,
+    whitening,
+)
 from labelweave.scratch import scratch_path, settle
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -130,3 +144,27 @@ def op9_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sharding.shard_documents(docs, [1.0] * 8)
+
+
+@query
+def op11_qdwh_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+# Tokens that a document may have.
+TOKEN_LIMIT = 512
+
+
+@query
+def op12_two_tier_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = tokens.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+@query
+def op13_bracketed_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resample.resample(docs, table(spark, sf_dir, "benchmark"), percent=10, least_words=20, seed=2024)

@@ -28,7 +28,7 @@ def rows_of(spark, sf_dir, name):
 
 def test_one_query_for_each_operator():
     names = [n for n in queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert queries()["pipeline"] is corpus_pipeline.run
 
 
