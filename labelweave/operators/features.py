@@ -25,11 +25,20 @@ from labelweave.functions.text import (
     style_measures,
     tokenize,
 )
-from labelweave.operators.lexicon import lexicon_features, term_measures, term_table, vad_features
+from labelweave.operators.lexicon import (
+    TermWeights,
+    lexicon_features,
+    row_measures,
+    term_measures,
+    term_table,
+    term_weights,
+    vad_features,
+)
 from labelweave.operators.vocabulary import vocabularies
 from labelweave.scratch import settle
 
-KEY = "example_id"
+#: The block of lexicon term counts.
+TERM_COUNTS = "_term_counts"
 
 
 @dataclass(frozen=True)
@@ -57,12 +66,16 @@ def clip_non_negative(names: list[str]) -> list[Column]:
 
 @dataclass
 class FeatureModel:
-    """A fitted text-to-columns transformation; ``terms`` stays a table."""
+    """A fitted text-to-columns transformation; ``terms`` stays a table.
+
+    ``weights`` are those of ``terms`` if their counts are a block of the text stages, else None.
+    """
 
     text_stages: PipelineModel
     terms: DataFrame
     orders: list[int]
     emotions: list[str]
+    weights: TermWeights | None = None
 
     @property
     def tfidf_columns(self) -> list[str]:
@@ -73,21 +86,27 @@ class FeatureModel:
         return [*lexicon_features(self.emotions), *vad_features(), *STYLE_FEATURES]
 
     def measure(self, df: DataFrame) -> DataFrame:
-        """``df`` plus TF-IDF vectors and 55 scalar columns; ``example_id`` must be unique.
+        """``df`` plus TF-IDF vectors and 55 scalar columns, row by row; keys may be missing or repeated.
 
-        Vectors and style are computed in the row. The token measures come back by key; both sides
-        ride on the clustering of ``df`` if it has one (a bucketed table), else both are shuffled.
+        All measures come from the row's own text: one scan, no join, no shuffle. A lexicon without weights
+        in the model is joined instead, by a number given to each row.
         """
         # A missing text is measured as an empty one and stays missing in the output.
         filled = df.withColumn("_given", F.col("text")).withColumn("text", F.coalesce("text", F.lit("")))
         staged = self.text_stages.transform(filled)
         style = style_measures(F.col("text"), F.col("_filtered"))
         given = [F.col("_given").alias("text") if c == "text" else F.col(c) for c in df.columns]
-        rows = staged.select(*given, *self.tfidf_columns, *style)
-        words = staged.select(KEY, "_filtered")
-        by_key = term_measures(words, self.terms, KEY, "_filtered", self.emotions)
-        measured = rows.join(by_key, KEY)
-        return measured.select(*df.columns, *self.tfidf_columns, *self.scalar_columns)
+        output = [*df.columns, *self.tfidf_columns, *self.scalar_columns]
+        keep = [*df.columns, *self.tfidf_columns, *STYLE_FEATURES]
+        if self.weights is not None:
+            rows = staged.select(*given, *self.tfidf_columns, *style, "_filtered", TERM_COUNTS)
+            tokens = F.size("_filtered")
+            return row_measures(rows, TERM_COUNTS, tokens, self.weights, self.emotions, keep).select(*output)
+        numbered = staged.select(*given, *self.tfidf_columns, *style, "_filtered", F.monotonically_increasing_id().alias("_row"))
+        # Stored, so that both sides of the join agree on the numbers.
+        rows = settle(numbered, "measured")
+        by_row = term_measures(rows.select("_row", "_filtered"), self.terms, "_row", "_filtered", self.emotions)
+        return rows.select("_row", *keep).join(by_row, "_row").select(*output)
 
     def add_vector(
         self, measured: DataFrame, output: str = "features", *, non_negative: bool = False
@@ -127,12 +146,11 @@ class FeatureModel:
     @staticmethod
     def load(spark: SparkSession, path: str) -> FeatureModel:
         settings = json.loads(spark.read.text(f"{path}/settings").first()[0])
-        return FeatureModel(
-            PipelineModel.load(f"{path}/text_stages"),
-            spark.read.parquet(f"{path}/terms"),
-            settings["orders"],
-            settings["emotions"],
-        )
+        stages = PipelineModel.load(f"{path}/text_stages")
+        terms = spark.read.parquet(f"{path}/terms")
+        counted = any(s.hasParam("outputCol") and s.getOutputCol() == TERM_COUNTS for s in stages.stages)
+        weights = term_weights(terms, settings["emotions"]) if counted else None
+        return FeatureModel(stages, terms, settings["orders"], settings["emotions"], weights)
 
 
 def fit_features(
@@ -165,7 +183,11 @@ def fit_features(
     for n in orders:
         stages += _block_stages(n, [r.term for r in blocks[n]], [r.idf for r in blocks[n]])
     terms = settle(term_table(pairs, vad, emotions), "lexicon")
-    return FeatureModel(PipelineModel(stages), terms, orders, list(emotions))
+    weights = term_weights(terms, list(emotions))
+    if weights is not None:
+        counter = CountVectorizerModel.from_vocabulary(weights.terms, inputCol="_filtered", outputCol=TERM_COUNTS)
+        stages.append(counter)
+    return FeatureModel(PipelineModel(stages), terms, orders, list(emotions), weights)
 
 
 def _block_stages(n: int, words: list[str], weights: list[float]) -> list:

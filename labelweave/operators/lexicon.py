@@ -1,13 +1,26 @@
-"""Emotion-lexicon and VAD measures: one explode, one lookup join, one aggregate."""
+"""Emotion-lexicon and VAD measures.
+
+In the row: the counts of the lexicon's terms are a sparse vector of the document, and its entries look up their
+weights in constant arrays; nothing is joined or shuffled, and no key is needed. By key: one explode, one lookup
+join, one aggregate, for lexicons beyond ``MAX_ROW_TERMS``.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelweave.operators.lookup import left_lookup
 from labelweave.sources.lexicons import VAD_DIMENSIONS, emotion_pairs, unique_vad_terms
 
+#: Terms of a lexicon whose weights may stand in a plan, some tens of bytes each.
+MAX_ROW_TERMS = 100_000
+#: Places for flags in a long, without its sign.
+MAX_FLAGS = 63
+
 
 def lexicon_features(emotions: list[str]) -> list[str]:
     names = [f"lex_{kind}_{e}" for kind in ("count", "ratio", "flag") for e in emotions]
@@ -114,3 +127,87 @@ def term_measures(
         F.count("term").alias("_tokens"), *_lexicon_sums(emotions), *_vad_sums()
     )
     return sums.select(key, *_lexicon_columns(emotions), *_vad_columns())
+
+
+@dataclass(frozen=True)
+class TermWeights:
+    """Terms in order; for each its flags (emotions, in a lexicon, in VAD, VAD values given) and its VAD values."""
+
+    terms: list[str]
+    flags: list[int]
+    scores: dict[str, list[float]]
+
+
+def term_weights(terms: DataFrame, emotions: list[str]) -> TermWeights | None:
+    """Weights of a stored term table, or None if it has too many terms or emotions for constant arrays."""
+    names = [*[f"is_{e}" for e in emotions], "in_lexicon", "in_vad"]
+    known = terms.filter(F.col("term").isNotNull())
+    if len(names) + len(VAD_DIMENSIONS) > MAX_FLAGS or known.count() > MAX_ROW_TERMS:
+        return None
+    rows = sorted(known.collect(), key=lambda row: row["term"])
+    flags = []
+    for row in rows:
+        marks = [row[n] == 1 for n in names] + [row[d] is not None for d in VAD_DIMENSIONS]
+        flags.append(sum(1 << i for i, mark in enumerate(marks) if mark))
+    scores = {d: [row[d] or 0.0 for row in rows] for d in VAD_DIMENSIONS}
+    if not rows:  # no token is empty, so this term counts nothing
+        return TermWeights([""], [0], {d: [0.0] for d in VAD_DIMENSIONS})
+    return TermWeights([row["term"] for row in rows], flags, scores)
+
+
+def _constants(values: list, kind: str) -> Column:
+    """An array of constants as one literal, once the optimizer has folded it."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
+
+
+def row_measures(
+    df: DataFrame, counts: str, tokens: Column, weights: TermWeights, emotions: list[str], keep: list[str]
+) -> DataFrame:
+    """``keep`` and both sets of measures, from the sparse vector ``counts`` of the terms of ``weights``.
+
+    Sums, extremes and deviations of a document are taken over the entries of its own vector.
+    """
+    vector = F.unwrap_udt(counts)
+    flags = _constants(weights.flags, "long")
+    scores = {d: _constants(weights.scores[d], "double") for d in VAD_DIMENSIONS}
+    entry = lambda i, c: F.struct(
+        c.alias("n"), F.get(flags, i).alias("flags"), *[F.get(v, i).alias(d) for d, v in scores.items()]
+    )
+    met = F.zip_with(vector.getField("indices"), vector.getField("values"), entry)
+    rows = df.select(*keep, tokens.alias("_tokens"), met.alias("_met"))
+
+    place = {name: i for i, name in enumerate([*emotions, "in_lexicon", "in_vad", *VAD_DIMENSIONS])}
+
+    def times(e: Column, flag: str) -> Column:
+        """How often the entry's term occurs if it has the flag, else 0."""
+        return e["n"] * F.shiftright(e["flags"], place[flag]).bitwiseAND(F.lit(1)).cast("double")
+
+    def total(value: Callable[[Column], Column]) -> Column:
+        return F.aggregate("_met", F.lit(0.0), lambda a, e: a + value(e))
+
+    def occurrences(flag: str) -> Column:
+        return total(lambda e: times(e, flag))
+
+    def away(d: str) -> Column:
+        off = lambda e: e[d] - F.col(f"_{d}_mean")
+        return total(lambda e: times(e, d) * off(e) * off(e))
+
+    def found(d: str) -> Column:
+        return F.transform(F.filter("_met", lambda e: times(e, d) > 0), lambda e: e[d])
+
+    def value_sum(d: str) -> Column:
+        return total(lambda e: times(e, d) * e[d])
+
+    sums = [occurrences(e).alias(f"_n_{e}") for e in emotions]
+    sums += [occurrences("in_lexicon").alias("_matches"), occurrences("in_vad").alias("_scored")]
+    for d in VAD_DIMENSIONS:
+        width = F.array_max(found(d)) - F.array_min(found(d))
+        sums += [occurrences(d).alias(f"_{d}_given"), value_sum(d).alias(f"_{d}_sum"), width.alias(f"_{d}_range")]
+    summed = rows.select("*", *sums)
+    means = [F.try_divide(F.col(f"_{d}_sum"), F.col(f"_{d}_given")).alias(f"_{d}_mean") for d in VAD_DIMENSIONS]
+    centred = summed.select("*", *means)
+    spreads = []
+    for d in VAD_DIMENSIONS:
+        variance = F.when(F.col(f"_{d}_given") > 1, away(d) / (F.col(f"_{d}_given") - 1))
+        spreads.append(F.sqrt(variance).alias(f"_{d}_std"))
+    return centred.select("*", *spreads).select(*keep, *_lexicon_columns(emotions), *_vad_columns())

@@ -115,6 +115,58 @@ def test_feature_plan_stays_in_the_jvm(spark, docs, model):
     assert "EvalPython" not in plan and "ArrowEval" not in plan and "Python" not in plan
 
 
+def test_measuring_is_one_scan_without_a_shuffle(docs, model):
+    plan = model.measure(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and "Aggregate" not in plan
+    assert plan.count("FileScan") == 1
+
+
+def wordy(spark):
+    """Keys that are missing or repeated; each row has its own words."""
+    rows = [(2, "this ened ened"), (2, "other words here"), (None, "this this this"), (None, None), (3, ""), (2, "this ened ened")]
+    return spark.createDataFrame(rows, "example_id long, text string")
+
+
+@pytest.mark.parametrize("in_row", [True, False])
+def test_rows_with_missing_or_repeated_keys_keep_their_own_measures(spark, model, in_row):
+    chosen = model if in_row else FeatureModel(model.text_stages, model.terms, model.orders, model.emotions)
+    got = sorted(
+        (r.example_id or 0, r.text or "", r.lex_total_matches, r.vad_token_coverage, r.word_count)
+        for r in chosen.measure(wordy(spark)).collect()
+    )
+    want = [(0, "", 0.0, 0.0, 0.0), (0, "this this this", 0.0, 0.0, 0.0), (2, "other words here", 0.0, 0.0, 1.0)]
+    want += [(2, "this ened ened", 2.0, 1.0, 2.0)] * 2 + [(3, "", 0.0, 0.0, 0.0)]
+    assert got == want
+
+
+def test_measures_in_the_row_equal_those_by_join(spark, sf_dir, docs):
+    from labelweave.catalog import fixtures as fx
+
+    pairs, vad = fx.emotion_lexicon(spark, sf_dir), fx.vad_lexicon(spark, sf_dir)
+    holes = vad.withColumn("arousal", F.when(F.length("term") > 4, F.col("arousal")))
+    fitted = fit_features(docs, pairs, holes, LEXICON_EMOTIONS, PARAMS)
+    joined = FeatureModel(fitted.text_stages, fitted.terms, fitted.orders, fitted.emotions)
+    want = {r.example_id: r for r in joined.measure(docs).collect()}
+    for r in fitted.measure(docs).collect():
+        for name in fitted.scalar_columns:
+            assert r[name] == pytest.approx(want[r.example_id][name], abs=1e-12), name
+
+
+def test_large_lexicons_are_joined(spark, lexica, docs, monkeypatch):
+    from labelweave.operators import lexicon
+
+    monkeypatch.setattr(lexicon, "MAX_ROW_TERMS", 1)
+    large = fit_features(docs, *lexica, LEXICON_EMOTIONS, PARAMS)
+    assert large.weights is None and large.measure(docs).count() == docs.count()
+
+
+def test_an_empty_lexicon_gives_zeros(spark, docs):
+    empty = spark.createDataFrame([], "term string, emotion string")
+    vad = spark.createDataFrame([], "term string, valence double, arousal double, dominance double")
+    row = fit_features(docs, empty, vad, LEXICON_EMOTIONS, PARAMS).measure(docs).first()
+    assert row.lex_total_matches == 0.0 and row.lex_dominant_index == -1.0 and row.vad_valence_mean == 0.0
+
+
 def test_clustered_examples_need_no_shuffle(spark, docs, model, tmp_path):
     path = str(tmp_path / "clustered")
     landed = artifacts.land_clustered(docs, path, "clustered_docs", "example_id", 4)
