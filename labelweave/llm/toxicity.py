@@ -7,8 +7,8 @@ out-of-fold predictions.
 
 Text features are the words of a document and the first letters of its words, each counted once: all that
 ``MIN_DOCUMENTS`` documents of the sample have, however many these are. Models are logistic regressions
-whose features are scaled by their log odds in the training rows; the fits of one category (one for each fold
-and one on all rows) run as parallel tasks. They see a bounded sample of labelled rows (``max_rows``). Scoring
+whose features are scaled by their log odds in the training rows; the fits of one category (one without each fold
+and one on all rows) run as parallel tasks, each in a partition of its own that holds the rows it sees. They see a bounded sample of labelled rows (``max_rows``). Scoring
 covers every row, without a shuffle.
 
 Defined cases: a NULL or empty text has no features and gets the score of the intercept; rows without a label of
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelweave.llm.rows import fresh
+from labelweave.llm.rows import arrow_rows, fresh, release
 from labelweave.llm.words import Texts, find_words, mix, span_hashes, text_chunks, word_hashes
 from labelweave.scratch import settle
 
@@ -39,6 +39,8 @@ MAX_ROWS = 20_000
 FOLDS = 3
 #: Term places that a fit handles at a time.
 BLOCK_PLACES = 1 << 18
+#: Rows that the training steps hand to Python at a time.
+BATCH_ROWS = 1_000
 
 
 def letters(text: Column) -> Column:
@@ -61,11 +63,21 @@ def _term_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         for texts in text_chunks(batch.column(batch.num_columns - 1)):
             doc, terms = text_terms(texts)
-            pairs = np.unique(np.stack([doc.astype(np.uint64), terms]), axis=1) if len(doc) else np.zeros((2, 0), np.uint64)
-            offsets = np.searchsorted(pairs[0], np.arange(len(texts) + 1)).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(pairs[1].view(np.int64)))
+            doc, terms = distinct_pairs(doc, terms)
+            offsets = np.searchsorted(doc, np.arange(len(texts) + 1)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(terms.view(np.int64)))
             rest = [c.slice(texts.first, len(texts)) for c in batch.columns[:-1]]
             yield pa.RecordBatch.from_arrays([*rest, lists], [*batch.schema.names[:-1], "terms"])
+    release()
+
+
+def distinct_pairs(doc: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct (text, term) pairs, ordered."""
+    order = np.lexsort((terms, doc))
+    doc, terms = doc[order], terms[order]
+    new = np.ones(len(doc), dtype=bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (terms[1:] != terms[:-1])
+    return doc[new], terms[new]
 
 
 def vocabulary_ids(doc: np.ndarray, terms: np.ndarray, vocabulary: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -174,9 +186,6 @@ def fit_linear(
     return LinearModel(x[:size] * scale, x[size:-1], float(x[-1]))
 
 
-_FITTED = "row long, p double, weights binary"
-
-
 def _id_batches(vocabulary: np.ndarray):
     """The last column, distinct term hashes, as places in the vocabulary."""
 
@@ -188,30 +197,66 @@ def _id_batches(vocabulary: np.ndarray):
             bounds, ids = vocabulary_ids(doc, flat, vocabulary, len(lists))
             encoded = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], encoded], [*batch.schema.names[:-1], "ids"])
+        release()
 
     return run
 
 
-def _fit_model(size: int, folds: int, reg: float):
-    """Fit on the rows outside the model's fold; predict the fold, or give the weights if it has none."""
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        model = key[0].as_py()
-        table = table.combine_chunks().sort_by([("row", "ascending")])
-        lists = table["ids"].combine_chunks()
-        bounds = lists.offsets.to_numpy().astype(np.int64)
-        bounds, ids = bounds - bounds[0], lists.flatten().to_numpy()
-        earlier = np.array(table["earlier"].to_pylist(), float).reshape(len(lists), -1)
-        y = table["y"].to_numpy()
-        train = (table["fold"].to_numpy() != model) & ~np.isnan(y)
-        fitted = fit_linear(*_rows(bounds, ids, train), earlier[train], y[train], size, reg)
-        if model == folds:
-            packed = np.concatenate([fitted.weights, fitted.earlier, [fitted.intercept]])
-            return pa.table({"row": pa.array([None], pa.int64()), "p": pa.array([None], pa.float64()), "weights": [packed.tobytes()]})
-        held = table["fold"].to_numpy() == model
-        p = fitted.probability(*_rows(bounds, ids, held), earlier[held])
-        rows = table["row"].filter(pa.array(held))
-        return pa.table({"row": rows, "p": p, "weights": pa.nulls(len(p), pa.binary())})
+_FITTED = "model int, weights binary"
+
+
+def _lists(batches: Sequence[pa.RecordBatch], name: str) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths and values of a list column."""
+    columns = [b.column(name) for b in batches]
+    sizes = [np.diff(c.offsets.to_numpy()) for c in columns]
+    return np.concatenate(sizes).astype(np.int64), np.concatenate([c.flatten().to_numpy() for c in columns])
+
+
+def _fit_batches(size: int, places: int, reg: float):
+    """One model from all rows of a partition; rows are put in order, so that sums do not follow the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = [b for b in batches if b.num_rows]
+        if not given:
+            return
+        model = given[0].column("model")[0].as_py()
+        order = np.argsort(np.concatenate([b.column("row").to_numpy() for b in given]))
+        y = np.concatenate([b.column("y").to_numpy() for b in given])[order]
+        _, earlier = _lists(given, "earlier")
+        counts, ids = _lists(given, "ids")
+        given.clear()
+        earlier = earlier.reshape(len(y), places)[order]
+        bounds = np.concatenate([[0], np.cumsum(counts)])
+        ids = np.concatenate([ids[bounds[i] : bounds[i + 1]] for i in order])
+        bounds = np.concatenate([[0], np.cumsum(counts[order])])
+        fitted = fit_linear(bounds, ids, earlier, y, size, reg)
+        packed = np.concatenate([fitted.weights, fitted.earlier, [fitted.intercept]])
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.int32()), pa.array([packed.tobytes()])], ["model", "weights"])
+        release()
+
+    return run
+
+
+def _held_batches(models: dict[int, LinearModel], places: int):
+    """Rows with the probability of their own fold's model, which has not seen them, added to the earlier ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts, ids = _lists([batch], "ids")
+            _, earlier = _lists([batch], "earlier")
+            rows, fold = len(counts), batch.column("fold").to_numpy()
+            earlier = earlier.reshape(rows, places)
+            bounds = np.concatenate([[0], np.cumsum(counts)])
+            p = np.zeros(rows)
+            for f, model in models.items():
+                mine = fold == f
+                p[mine] = model.probability(*_rows(bounds, ids, mine), earlier[mine])
+            wide = np.column_stack([earlier, p])
+            offsets = pa.array(np.arange(rows + 1, dtype=np.int32) * wide.shape[1])
+            lists = pa.ListArray.from_arrays(offsets, pa.array(wide.ravel()))
+            columns = [lists if n == "earlier" else batch.column(n) for n in batch.schema.names]
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+        release()
 
     return run
 
@@ -269,6 +314,7 @@ def _score_batches(chain: ClassifierChain, names: list[str]):
             p = np.concatenate(parts) if parts else np.zeros((0, len(names)))
             columns = [*batch.columns[:-1], *(pa.array(p[:, i]) for i in range(len(names)))]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], *names])
+        release()
 
     return run
 
@@ -287,7 +333,7 @@ def fit_chain(
     """Chain over 0/1 label columns, in the order given.
 
     The sample and the folds follow a hash of the key, so reruns and other partitionings take the same rows.
-    The driver gets the vocabulary and one weight vector for each category.
+    The driver gets the vocabulary and ``folds`` + 1 weight vectors of one category at a time.
     """
     n = labelled.select(key).count()
     share = min(1.0, max_rows / n) if n else 1.0
@@ -300,8 +346,10 @@ def fit_chain(
         *labels,
         letters(F.col(text)).alias("text"),
     )
+    spark = labelled.sparkSession
     schema = "row long, fold int, " + "".join(f"y{i} double, " for i in range(len(categories))) + "terms array<long>"
-    rows = settle(rows.mapInArrow(_term_batches, schema), "training")
+    with arrow_rows(spark, BATCH_ROWS):
+        rows = settle(rows.mapInArrow(_term_batches, schema), "training")
     found = (
         rows.select(F.explode("terms").alias("term"))
         .groupBy("term")
@@ -311,27 +359,35 @@ def fit_chain(
         .toArrow()
     )
     chain = ClassifierChain(list(categories), np.sort(found["term"].to_numpy().view(np.uint64)))
+    size = len(chain.vocabulary)
     encoded = rows.mapInArrow(_id_batches(chain.vocabulary), schema.replace("terms array<long>", "ids array<int>"))
-    told = settle(encoded, "encoded").select("*", F.array().cast("array<double>").alias("earlier"))
+    with arrow_rows(spark, BATCH_ROWS):
+        told = settle(encoded.withColumn("earlier", F.array().cast("array<double>")), "encoded")
     for i in range(len(categories)):
-        ready = told.select("row", "fold", F.coalesce(f"y{i}", F.lit(float("nan"))).alias("y"), "ids", "earlier")
-        each = ready.withColumn("model", F.explode(F.sequence(F.lit(0), F.lit(folds))))
-        fitted = settle(each.groupBy("model").applyInArrow(_fit_model(len(chain.vocabulary), folds, reg), _FITTED), "fitted")
-        packed = fitted.filter("weights IS NOT NULL").first()
-        if packed is None:
-            chain.models.append(LinearModel(np.zeros(len(chain.vocabulary)), np.zeros(i), -np.inf))
+        # Model ``folds`` sees all rows, each other one the rows outside its own fold.
+        every = F.sequence(F.lit(0), F.lit(folds))
+        seen = F.explode(F.filter(every, lambda m: m != F.col("fold"))).alias("model")
+        ready = told.filter(F.col(f"y{i}").isNotNull()).select(seen, "row", F.col(f"y{i}").alias("y"), "ids", "earlier")
+        fits = ready.repartitionById(folds + 1, "model").mapInArrow(_fit_batches(size, i, reg), _FITTED)
+        with arrow_rows(spark, BATCH_ROWS):
+            models = {r["model"]: _unpacked(r["weights"], size) for r in settle(fits, "fitted").collect()}
+        blank = LinearModel(np.zeros(size), np.zeros(i), -np.inf)
+        chain.models.append(models.get(folds, blank))
+        if folds not in models:
             chain.thresholds.append(1.1)
             continue
-        values = np.frombuffer(packed["weights"], float)
-        size = len(chain.vocabulary)
-        chain.models.append(LinearModel(values[:size], values[size:-1], float(values[-1])))
-        out = told.join(fitted.filter("row IS NOT NULL").select("row", "p"), "row")
-        told = settle(out.withColumn("earlier", F.concat("earlier", F.array("p"))), "folds").drop("p")
+        held = {f: models.get(f, blank) for f in range(folds)}
+        told = settle(told.mapInArrow(_held_batches(held, i), told.schema), "folds")
         scored = told.select(f"y{i}", F.element_at("earlier", i + 1).alias("p")).filter(F.col(f"y{i}").isNotNull())
         chain.thresholds.append(best_threshold(scored, f"y{i}", "p"))
     return chain
 
 
+def _unpacked(weights: bytes, size: int) -> LinearModel:
+    values = np.frombuffer(weights, float)
+    return LinearModel(values[:size], values[size:-1], float(values[-1]))
+
+
 def score_documents(docs: DataFrame, chain: ClassifierChain, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, p_<category> for each category, and the last category's verdict by its name)."""
     names = [f"p_{c}" for c in chain.categories]
