@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.classification import (
     LinearSVC,
@@ -16,6 +18,8 @@ from pyspark.ml.classification import (
     RandomForestClassificationModel,
     RandomForestClassifier,
 )
+from pyspark.ml.common import _py2java
+from pyspark.ml.linalg import DenseMatrix, Vectors
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +28,11 @@ from labelweave.operators.scores import positive_score
 FEATURES = "features"
 COUNTS = "features_non_negative"
 FAMILIES = ["logistic_regression", "linear_svm", "naive_bayes", "random_forest"]
+#: Families whose models are weights of the features.
+LINEAR = FAMILIES[:3]
+#: Rows that a forest's bags are drawn from at a time. A bag follows a row's place in its block, so this number is
+#: part of a forest's meaning, like its seed.
+BAG_ROWS = 10_000
 MODEL_CLASSES = {
     "logistic_regression": LogisticRegressionModel,
     "linear_svm": LinearSVCModel,
@@ -45,8 +54,8 @@ class TrainParams:
     rf_subsample: float = 0.8
     seed: int = 42
     parallel_fits: int = 4
-    #: Partitions that the rows of a fit are dealt into by key; more for more rows.
-    fit_partitions: int = 8
+    #: Rows of a fit's partition, on average.
+    rows_per_partition: int = 10_000
 
 
 @dataclass
@@ -110,6 +119,18 @@ def _summary(family: str, model, params: TrainParams) -> dict[str, float]:
     return {"numTrees": float(params.rf_trees), "maxDepth": float(params.rf_depth)}
 
 
+def dealt_by_key(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """``rows`` in ranges of the key's digest, about ``size`` rows each and ordered by key.
+
+    The number of ranges follows the number of rows, and a row's range and place follow keys only, so neither
+    the input's files nor the cluster changes what a fit sees.
+    """
+    ranges = max(1, math.ceil(rows.count() / size))
+    digest = F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10)
+    place = F.shiftrightunsigned(digest.cast("long") * F.lit(ranges).cast("long"), 32).cast("int")
+    return rows.repartitionById(ranges, place).sortWithinPartitions(key)
+
+
 def class_bounds(train: DataFrame, labels: list[str]) -> dict[str, float]:
     """The labels with a single class, with that class; one narrow job for all labels."""
     bounds = [x for c in labels for x in (F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}"))]
@@ -134,13 +155,14 @@ def fit_family(
 ) -> LabelModels:
     """Fit one model per label, several labels at a time over the same cached rows.
 
-    Rows are dealt into ``fit_partitions`` by key and ordered by it, so that bagging and summation do not
-    depend on the layout of the input.
+    Rows are dealt by key, as many partitions as their number asks for, so that bagging and summation do not
+    depend on the layout of the input; those of a forest do not depend on ``rows_per_partition`` either.
     """
     check_family(family)
     constants = class_bounds(train.select(*labels), labels)
-    dealt = train.select(key, input_column(family), *labels).repartition(params.fit_partitions, key)
-    rows = dealt.sortWithinPartitions(key).drop(key).persist(StorageLevel.MEMORY_AND_DISK)
+    size = BAG_ROWS if family == "random_forest" else params.rows_per_partition
+    dealt = dealt_by_key(train.select(key, input_column(family), *labels), key, size)
+    rows = dealt.drop(key).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         open_labels = [c for c in labels if c not in constants]
 
@@ -158,25 +180,63 @@ def fit_family(
         rows.unpersist()
 
 
-def label_outputs(
+def margin_model(models: LabelModels) -> LogisticRegressionModel:
+    """All fitted labels of a linear family as one matrix; its raw predictions are their margins.
+
+    A row for each label, in order; two for Naive Bayes, one for each class.
+    """
+    fitted = [models.models[c] for c in models.labels if c in models.models]
+    if models.family == "naive_bayes":
+        weights = np.vstack([m.theta.toArray() for m in fitted])
+        intercepts = np.concatenate([m.pi.toArray() for m in fitted])
+    else:
+        weights = np.vstack([m.coefficients.toArray() for m in fitted])
+        intercepts = np.array([m.intercept for m in fitted])
+    rows, width = weights.shape
+    sc = SparkSession.active().sparkContext
+    # Column by column, so that an entry of a sparse vector meets its weights side by side.
+    matrix = _py2java(sc, DenseMatrix(rows, width, weights.ravel(order="F")))
+    java = sc._jvm.org.apache.spark.ml.classification.LogisticRegressionModel(
+        f"margins_{models.family}", matrix, _py2java(sc, Vectors.dense(intercepts)), rows, True
+    )
+    found = LogisticRegressionModel(java)
+    found.setFeaturesCol(input_column(models.family)).setRawPredictionCol(f"_margins_{models.family}")
+    return found.setProbabilityCol("").setPredictionCol("")
+
+
+def _linear_outputs(
     df: DataFrame, models: LabelModels
 ) -> tuple[DataFrame, dict[str, tuple[Column, Column, Column]]]:
-    """``df`` with the outputs of every label model, and per label its (score, pred, raw) columns.
+    fitted = [c for c in models.labels if c in models.models]
+    if not fitted:
+        return df, {}
+    result = margin_model(models).transform(df)
+    margins = F.unwrap_udt(f"_margins_{models.family}").getField("values")
+    columns = {}
+    for i, label in enumerate(fitted):
+        if models.family == "naive_bayes":
+            negative, raw = F.get(margins, F.lit(2 * i)), F.get(margins, F.lit(2 * i + 1))
+            score, positive = 1 / (1 + F.exp(negative - raw)), raw > negative
+        else:
+            raw = F.get(margins, F.lit(i))
+            score, positive = 1 / (1 + F.exp(-raw)), raw > 0
+        if models.family == "linear_svm":
+            score = F.lit(None).cast("double")
+        columns[label] = (score, positive.cast("double"), raw)
+    return result, columns
 
-    ``raw`` is the model's raw value for the positive class (the margin of an SVM); constants have none.
-    """
-    result = df
-    columns: dict[str, tuple[Column, Column, Column]] = {}
+
+def _stage_outputs(
+    df: DataFrame, models: LabelModels
+) -> tuple[DataFrame, dict[str, tuple[Column, Column, Column]]]:
+    """A stage for each label."""
+    result, columns = df, {}
     for label in models.labels:
-        if label in models.constants:
-            value = F.lit(models.constants[label])
-            score = F.lit(None).cast("double") if models.family == "linear_svm" else value
-            columns[label] = (score, value, F.lit(None).cast("double"))
+        if label not in models.models:
             continue
         prefix = f"{models.family}_{label}"
         stage = models.models[label].copy()
-        stage.setPredictionCol(f"pred_{prefix}")
-        stage.setRawPredictionCol(f"raw_{prefix}")
+        stage.setPredictionCol(f"pred_{prefix}").setRawPredictionCol(f"raw_{prefix}")
         if models.family != "linear_svm":
             stage.setProbabilityCol(f"prob_{prefix}")
         result = stage.transform(result)
@@ -184,8 +244,24 @@ def label_outputs(
             score = F.lit(None).cast("double")
         else:
             score = positive_score(result, f"prob_{prefix}")
-        raw = positive_score(result, f"raw_{prefix}")
-        columns[label] = (score, F.col(f"pred_{prefix}"), raw)
+        columns[label] = (score, F.col(f"pred_{prefix}"), positive_score(result, f"raw_{prefix}"))
+    return result, columns
+
+
+def label_outputs(
+    df: DataFrame, models: LabelModels
+) -> tuple[DataFrame, dict[str, tuple[Column, Column, Column]]]:
+    """``df`` with the outputs of all label models, and per label its (score, pred, raw) columns.
+
+    A linear family is one stage whatever the number of its labels. ``raw`` is the model's raw value for the
+    positive class (the margin of an SVM); constants have none.
+    """
+    outputs = _linear_outputs if models.family in LINEAR else _stage_outputs
+    result, columns = outputs(df, models)
+    none = F.lit(None).cast("double")
+    for label, constant in models.constants.items():
+        value = F.lit(constant)
+        columns[label] = (none if models.family == "linear_svm" else value, value, none)
     return result, columns
 
 

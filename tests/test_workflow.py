@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+import numpy as np
 import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
@@ -190,18 +191,71 @@ def test_keys_must_be_unique(spark, inputs, tmp_path):
             run_bayes(spark, inputs, tmp_path, bad)
 
 
-@pytest.mark.parametrize("family", ["random_forest"])
+def keyed(spark, n):
+    rows = [(i, "train", *[Vectors.dense([float(i % 7), float(i % 3), 1.0])] * 2, float(i % 7 > i % 3)) for i in range(n)]
+    return spark.createDataFrame(rows, ["example_id", "split", train.FEATURES, train.COUNTS, "a"])
+
+
+@pytest.mark.parametrize("family", train.FAMILIES)
 def test_fits_do_not_depend_on_the_layout(spark, family):
-    rows = [(i, "train", Vectors.dense([float(i % 7), float(i % 3), 1.0]), float(i % 7 > i % 3)) for i in range(90)]
-    df = spark.createDataFrame(rows, ["example_id", "split", train.FEATURES, "a"])
-    params = TrainParams(rf_trees=7, rf_depth=4)
+    df = keyed(spark, 90)
+    params = TrainParams(rf_trees=7, rf_depth=4, rows_per_partition=25)
     found = []
     for layout in (df.coalesce(1), df.repartition(4), df.orderBy(F.desc("example_id")).repartition(32)):
         fitted = fit_family(layout, ["a"], family, params)
-        found.append({r.example_id: r.score for r in score_rows(df, fitted).collect()})
+        found.append({r.example_id: (r.score, r.raw) for r in score_rows(df, fitted).collect()})
     assert found[0] == found[1] == found[2]
 
 
+def test_partitions_follow_the_rows(spark):
+    for n in (1, 90, 400):
+        dealt = train.dealt_by_key(keyed(spark, n), "example_id", 25)
+        sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+        assert dealt.rdd.getNumPartitions() == -(-n // 25) and sum(sizes) == n and max(sizes) < 60
+    assert train.dealt_by_key(keyed(spark, 90).limit(0), "example_id", 25).count() == 0
+
+
+def test_a_forest_depends_on_its_rows_only(spark):
+    df = keyed(spark, 200)
+    found = []
+    for size in (10, 50):
+        fitted = fit_family(df, ["a"], "random_forest", TrainParams(rf_trees=9, rf_depth=4, rows_per_partition=size))
+        found.append({r.example_id: r.score for r in score_rows(df, fitted).collect()})
+    assert found[0] == found[1] and len(set(found[0].values())) > 1
+
+
+@pytest.mark.parametrize("family", train.LINEAR)
+def test_one_matrix_gives_the_outputs_of_all_label_models(spark, family):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(120):
+        x = rng.poisson(1.0, 12).astype(float)
+        v = Vectors.sparse(12, [(j, a) for j, a in enumerate(x) if a])
+        rows.append((i, "train", v, v, float(x[0] + x[1] > 2), 1.0, float(x[3] > x[4]), float(rng.random() < 0.1)))
+    df = spark.createDataFrame(rows, ["example_id", "split", train.FEATURES, train.COUNTS, "a", "always", "b", "c"])
+    fitted = fit_family(df, ["a", "always", "b", "c"], family)
+    scored = score_rows(df, fitted)
+    assert scored._jdf.queryExecution().executedPlan().toString().count("margins") >= 1
+    applied, columns = train._stage_outputs(df, fitted)
+    assert set(columns) == {"a", "b", "c"}
+    wide = applied.select("example_id", *[x.alias(f"{c}{i}") for c, xs in columns.items() for i, x in enumerate(xs)])
+    want = {r.example_id: r for r in wide.collect()}
+    for r in scored.collect():
+        if r.label == "always":
+            assert (r.score, r.pred, r.raw) == (None if family == "linear_svm" else 1.0, 1.0, None)
+            continue
+        score, pred, raw = (want[r.example_id][f"{r.label}{i}"] for i in range(3))
+        assert r.pred == pred and r.raw == pytest.approx(raw, abs=1e-9)
+        assert r.score is None and score is None or r.score == pytest.approx(score, abs=1e-9)
+
+
+def test_a_linear_family_is_one_stage(spark):
+    df = keyed(spark, 40).withColumn("b", 1 - F.col("a"))
+    fitted = fit_family(df, ["a", "b"], "linear_svm")
+    applied, _ = train.label_outputs(df, fitted)
+    assert set(applied.columns) - set(df.columns) == {"_margins_linear_svm"}
+
+
 def test_unknown_family(spark, inputs, tmp_path):
     examples, lexica = inputs
     with pytest.raises(ValueError):
