@@ -58,6 +58,21 @@ class TrainParams:
     rows_per_partition: int = 10_000
 
 
+# Settings of TrainParams that shape the models of a family.
+_SETTINGS = {
+    "logistic_regression": ("lr_reg", "lr_elastic_net", "lr_max_iter", "rows_per_partition"),
+    "linear_svm": ("svm_reg", "svm_max_iter", "rows_per_partition"),
+    "naive_bayes": ("nb_smoothing", "rows_per_partition"),
+    "random_forest": ("rf_trees", "rf_depth", "rf_subsample", "seed"),
+}
+
+
+def family_settings(family: str, params: TrainParams) -> dict[str, float]:
+    """The settings that, if changed, give the family other models."""
+    check_family(family)
+    return {name: getattr(params, name) for name in _SETTINGS[family]}
+
+
 @dataclass
 class LabelModels:
     """Fitted models of one family; a label seen with one class only has a constant score."""

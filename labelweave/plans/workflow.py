@@ -26,6 +26,7 @@ from labelweave.operators.train import (
     FEATURES,
     TrainParams,
     check_family,
+    family_settings,
     fit_family,
     load_models,
     save_models,
@@ -85,36 +86,47 @@ def _train_rows(df: DataFrame) -> DataFrame:
     return df.filter(F.col("split") == "train")
 
 
-def _open_examples(
-    spark: SparkSession, examples: DataFrame, out: str, table: str, params: WorkflowParams
-) -> DataFrame:
-    """The landed examples of an earlier run, or those passed in if that run did not land them."""
-    if not params.land:
-        return examples
-    path = f"{out}/examples"
-    if params.buckets:
-        found = artifacts.open_clustered(spark, path, table, "example_id", params.buckets)
-    else:
-        found = artifacts.read_if_present(spark, path)
-    return examples if found is None else found
-
-
-def _land_examples(examples: DataFrame, out: str, table: str, params: WorkflowParams) -> DataFrame:
-    if not params.land:
-        return examples
-    path = f"{out}/examples"
+def _land_examples(examples: DataFrame, path: str, table: str, params: WorkflowParams) -> DataFrame:
     if params.buckets:
         return artifacts.land_clustered(examples, path, table, "example_id", params.buckets)
     examples.write.mode("overwrite").parquet(path)
     return examples.sparkSession.read.schema(examples.schema).parquet(path)
 
 
+def _open_examples(spark: SparkSession, path: str, table: str, params: WorkflowParams) -> DataFrame | None:
+    if params.buckets:
+        return artifacts.open_clustered(spark, path, table, "example_id", params.buckets)
+    return artifacts.read_if_present(spark, path)
+
+
 def check_keys(examples: DataFrame) -> None:
     """Raise if an ``example_id`` is missing or repeated; one aggregate over the keys."""
-    repeated = examples.groupBy("example_id").count().filter("count > 1 OR example_id IS NULL")
-    found = repeated.limit(1).collect()
-    if found:
-        raise ValueError(f"example_id {found[0]['example_id']!r} is missing or repeated")
+    artifacts.keyed_digest(examples.select("example_id"), "example_id")
+
+
+def _digested(
+    spark: SparkSession, given: DataFrame, out: str, table: str, manifest: artifacts.Manifest, params: WorkflowParams
+) -> tuple[DataFrame, str]:
+    """The examples and the digest of their rows; each key is checked.
+
+    A first run computes ``given`` once, to land it; keys and digest come from one pass over what has landed. A
+    later run takes them from ``given`` and lands it only if its rows are new.
+    """
+    layout = [params.buckets, params.partitions]
+    if not params.land:
+        return given, artifacts.fingerprint(artifacts.keyed_digest(given, "example_id"), layout)
+    path = f"{out}/examples"
+    before = manifest.finished("examples")
+    if before is not None:
+        digest = artifacts.fingerprint(artifacts.keyed_digest(given, "example_id"), layout)
+        landed = _open_examples(spark, path, table, params) if digest == before else None
+        if landed is not None:
+            return landed, digest
+    manifest.open("examples")
+    landed = _land_examples(ensure_partitions(given, params.partitions), path, table, params)
+    digest = artifacts.fingerprint(artifacts.keyed_digest(landed, "example_id"), layout)
+    manifest.close("examples", digest)
+    return landed, digest
 
 
 def run_workflow(
@@ -130,43 +142,40 @@ def run_workflow(
 ) -> WorkflowResult:
     """Train, score, tune and evaluate; everything lands under ``out``.
 
-    ``examples`` has a unique ``example_id``, a ``text`` and one 0/1 column per label. A second
-    call with the same parameters and the same rows reuses the saved features, the models and the scores
-    of finished splits; otherwise it starts over, and nothing of the earlier run stays. ``vad`` may be
-    empty, its features are then 0. A missing or repeated ``example_id`` raises an error.
+    ``examples`` has a unique ``example_id``, a ``text`` and one 0/1 column per label. ``vad`` may be empty, its
+    features are then 0. A missing or repeated ``example_id`` raises an error.
+
+    A manifest names each stage by a digest of its own inputs and settings: examples, features, and the models of
+    each family. A second call reuses the stages whose digest is the same, also those of a run that was killed,
+    and the scores of finished splits; a family's changed setting fits that family again and nothing else, other
+    rows or feature settings start over, and nothing of the earlier run stays.
 
     The split reads the examples three times, so they are landed first. Set ``land=False`` when they
-    are a plain scan of stored files, and ``buckets`` to land them clustered by key, which makes the
-    token measures free of shuffles.
+    are a plain scan of stored files, and ``buckets`` to land them clustered by key.
     """
     labels = list(labels)
     for family in params.families:
         check_family(family)
+    manifest = artifacts.Manifest(spark, f"{out}/manifest")
+    table = f"labelweave_examples_{artifacts.fingerprint(out)[:12]}"
     given = examples.select("example_id", "text", *labels)
-    check_keys(given)
-    contents = [artifacts.content_digest(table) for table in (given, pairs, vad)]
-    settings = (labels, list(emotions), params.features, params.training, params.ratios,
-                params.stratify, params.seed, params.buckets, contents)
-    # The fingerprint covers what shapes features and models, not which families were asked for.
-    mark = artifacts.fingerprint(*settings)
-    mark_path = f"{out}/fingerprint"
-    same = artifacts.read_fingerprint(spark, mark_path) == mark
+    landed, rows_digest = _digested(spark, given, out, table, manifest, params)
+    lexica = [artifacts.content_digest(lexicon) for lexicon in (pairs, vad)]
+    features_digest = artifacts.fingerprint(
+        rows_digest, labels, list(emotions), lexica, params.features, params.ratios, params.stratify, params.seed
+    )
     resumed: list[str] = []
-    table = f"labelweave_examples_{artifacts.fingerprint(out)[:12]}"
-
     feature_rows = model = None
-    if same:
+    if manifest.holds("features", features_digest):
         feature_rows = artifacts.read_if_present(spark, f"{out}/features")
     if feature_rows is not None:
         resumed.append("features")
         model = FeatureModel.load(spark, f"{out}/models/features")
-        landed = _open_examples(spark, examples, out, table, params)
     else:
-        # Until all is saved the folder belongs to no run.
-        artifacts.write_fingerprint(spark, mark_path, "incomplete")
+        manifest.open("features")
+        for family in FAMILIES:
+            manifest.open(family)
         artifacts.clear_scores(spark, f"{out}/scores")
-        chosen = ensure_partitions(given, params.partitions)
-        landed = _land_examples(chosen, out, table, params)
         divided = assign_splits(landed, labels, params)
         artifacts.write_splits(
             divided.filter(F.col("split") == "test").select("example_id", "text", *labels, "split"),
@@ -179,33 +188,35 @@ def run_workflow(
         if params.save_features:
             artifacts.write_splits(measured.drop("text"), f"{out}/features")
             feature_rows = artifacts.read_if_present(spark, f"{out}/features")
+            manifest.close("features", features_digest)
         else:
+            # Features that were not saved cannot be resumed.
             feature_rows = measured.drop("text")
-        # Features that were not saved cannot be resumed.
-        artifacts.write_fingerprint(spark, mark_path, mark if params.save_features else "unsaved")
 
     scores_path = f"{out}/scores"
-    # Scores are cleared when a run starts over and written after the models, so they vouch for those.
-    present = artifacts.folders(spark, scores_path, "model", "split")
     wanted = {row["split"] for row in feature_rows.select("split").distinct().collect()}
     if not params.include_train:
         wanted.discard("train")
     plain = model.assemble(feature_rows, FEATURES)
     counts = model.assemble(feature_rows, COUNTS, non_negative=True)
     for family in params.families:
-        scored = {split for model, split in present if model == family}
-        missing = sorted(wanted - scored)
-        if scored:
-            resumed.append(family)
-        if scored and not missing:
-            continue
         rows = counts if family == "naive_bayes" else plain
-        if scored:
-            fitted = load_models(spark, f"{out}/models/{family}", family)
+        digest = artifacts.fingerprint(features_digest, family, family_settings(family, params.training))
+        if manifest.holds(family, digest):
+            resumed.append(family)
+            fitted = None
         else:
+            # Scores are written after their models are finished, so those that are there vouch for these.
+            manifest.open(family)
+            artifacts.drop_scores(spark, scores_path, family)
             fitted = fit_family(_train_rows(rows), labels, family, params.training)
             save_models(fitted, f"{out}/models/{family}")
-        artifacts.write_scores(score_rows(rows.filter(F.col("split").isin(missing)), fitted), scores_path)
+            manifest.close(family, digest)
+        scored = {split for name, split in artifacts.folders(spark, scores_path, "model", "split") if name == family}
+        missing = sorted(wanted - scored)
+        if missing:
+            fitted = fitted or load_models(spark, f"{out}/models/{family}", family)
+            artifacts.write_scores(score_rows(rows.filter(F.col("split").isin(missing)), fitted), scores_path)
 
     families = list(params.families)
     skipped = []

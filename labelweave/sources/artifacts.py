@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
-from dataclasses import asdict, is_dataclass
+from dataclasses import asdict, dataclass, is_dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelweave.operators.metrics import metrics_report
@@ -70,6 +70,12 @@ def read_scores(spark: SparkSession, path: str) -> DataFrame | None:
     return scores.select(*[c for c in columns if c in scores.columns])
 
 
+def drop_scores(spark: SparkSession, path: str, model: str) -> None:
+    """Drop the saved scores of one model."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/model={model}")
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def models_present(spark: SparkSession, path: str) -> set[str]:
     """Model names in the score table saved under ``path``, from its folder names."""
     return {model for model, _ in folders(spark, path, "model", "split")}
@@ -96,14 +102,30 @@ def read_holdout(spark: SparkSession, path: str) -> DataFrame | None:
     return read_if_present(spark, path)
 
 
+def _row_hash(names: list[str]) -> Column:
+    # Hashing passes over NULLs, so flags tell which values are missing.
+    missing = F.concat(*[F.isnull(c).cast("int").cast("string") for c in names])
+    return F.xxhash64(missing, *names).cast("decimal(20,0)")
+
+
 def content_digest(df: DataFrame) -> list[str]:
     """Row count and sum of row hashes: equal for equal rows in any order. One aggregate."""
     names = sorted(df.columns)
-    hashed = F.xxhash64(*names).cast("decimal(20,0)")
-    row = df.agg(F.count(F.lit(1)), F.sum(hashed)).first()
+    row = df.agg(F.count(F.lit(1)), F.sum(_row_hash(names))).first()
     return [*names, str(row[0]), str(row[1])]
 
 
+def keyed_digest(df: DataFrame, key: str) -> list[str]:
+    """``content_digest`` and a check of the key in the same pass; raises if a key is missing or repeated."""
+    names = sorted(df.columns)
+    by_key = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"), F.sum(_row_hash(names)).alias("_hash"))
+    odd = (F.col("_rows") > 1) | F.col(key).isNull()
+    row = by_key.agg(F.sum("_rows"), F.sum("_hash"), F.count_if(odd), F.min(F.when(odd, F.col(key)))).first()
+    if row[2]:
+        raise ValueError(f"{key} {row[3]!r} is missing or repeated")
+    return [*names, str(row[0] or 0), str(row[1])]
+
+
 def write_metrics(summary: DataFrame, labels: DataFrame, path: str) -> None:
     """JSON, one nested record per split in a folder per model."""
     metrics_report(summary, labels).coalesce(1).write.mode("overwrite").partitionBy("model").json(path)
@@ -145,6 +167,31 @@ def write_fingerprint(spark: SparkSession, path: str, value: str) -> None:
     spark.createDataFrame([(value,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
+@dataclass(frozen=True)
+class Manifest:
+    """Which stages of a run are finished, and from what: the digest of a stage's inputs and settings.
+
+    A stage is opened before its output is touched and closed after all of it is written, so a run that is
+    killed leaves open stages open and finished ones finished.
+    """
+
+    spark: SparkSession
+    path: str
+
+    def finished(self, stage: str) -> str | None:
+        """Digest of the finished stage, None if it is open or was never begun."""
+        return read_fingerprint(self.spark, f"{self.path}/{stage}") or None
+
+    def holds(self, stage: str, digest: str) -> bool:
+        return self.finished(stage) == digest
+
+    def open(self, stage: str) -> None:
+        write_fingerprint(self.spark, f"{self.path}/{stage}", "")
+
+    def close(self, stage: str, digest: str) -> None:
+        write_fingerprint(self.spark, f"{self.path}/{stage}", digest)
+
+
 def land_clustered(df: DataFrame, path: str, table: str, key: str, buckets: int) -> DataFrame:
     """Write ``df`` bucketed by ``key``: grouping and joining on ``key`` then need no shuffle.
 

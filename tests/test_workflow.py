@@ -12,6 +12,7 @@ from labelweave.operators.features import FeatureParams
 from labelweave.operators.metrics import evaluate
 from labelweave.operators.scores import canonical_predictions
 from labelweave.operators.train import TrainParams, fit_family, load_models, save_models, score_rows
+from labelweave.plans import workflow
 from labelweave.plans.scoring import ScoringBundle, score_table
 from labelweave.plans.workflow import WorkflowParams, run_workflow
 from labelweave.sources import annotations, artifacts
@@ -183,6 +184,78 @@ def test_no_split_of_an_earlier_run_stays(spark, inputs, tmp_path):
     assert {r.label: r.threshold for r in again.thresholds.collect()} == {"quality": 0.5, "toxic": 0.3, "never": 0.5}
 
 
+def test_a_killed_run_goes_on_where_it_ended(spark, inputs, tmp_path, monkeypatch):
+    examples, lexica = inputs
+    params = replace(FAST, families=("naive_bayes", "linear_svm"), sample_size=0)
+    real = workflow.fit_family
+
+    def dies(rows, labels, family, training):
+        if family == "linear_svm":
+            raise RuntimeError("killed")
+        return real(rows, labels, family, training)
+
+    monkeypatch.setattr(workflow, "fit_family", dies)
+    with pytest.raises(RuntimeError):
+        run_workflow(spark, examples, LABELS, str(tmp_path), params=params, **lexica)
+    monkeypatch.setattr(workflow, "fit_family", real)
+    again = run_workflow(spark, examples, LABELS, str(tmp_path), params=params, **lexica)
+    assert again.resumed == ["features", "naive_bayes"]
+    fresh = run_workflow(spark, examples, LABELS, f"{tmp_path}/fresh", params=params, **lexica)
+    assert sorted(again.scores.collect(), key=str) == sorted(fresh.scores.collect(), key=str)
+
+
+def test_a_run_killed_before_its_scores_keeps_its_models(spark, inputs, tmp_path, monkeypatch):
+    real = workflow.score_rows
+    monkeypatch.setattr(workflow, "score_rows", lambda *a: (_ for _ in ()).throw(RuntimeError("killed")))
+    with pytest.raises(RuntimeError):
+        run_bayes(spark, inputs, tmp_path)
+    monkeypatch.setattr(workflow, "score_rows", real)
+    monkeypatch.setattr(workflow, "fit_family", None)
+    again = run_bayes(spark, inputs, tmp_path)
+    assert again.resumed == ["features", "naive_bayes"] and again.scores.count() == 3 * inputs[0].count()
+
+
+def test_a_changed_setting_fits_its_own_family_only(spark, inputs, tmp_path, monkeypatch):
+    examples, lexica = inputs
+    params = replace(FAST, families=("naive_bayes", "linear_svm"), sample_size=0)
+    first = run_workflow(spark, examples, LABELS, str(tmp_path), params=params, **lexica)
+    old = {(r.example_id, r.model, r.label): (r.score, r.raw) for r in first.scores.collect()}
+    fitted = []
+    real = workflow.fit_family
+    monkeypatch.setattr(workflow, "fit_family", lambda *a: fitted.append(a[2]) or real(*a))
+    changed = replace(params, training=replace(FAST.training, svm_reg=10.0))
+    again = run_workflow(spark, examples, LABELS, str(tmp_path), params=changed, **lexica)
+    assert fitted == ["linear_svm"] and again.resumed == ["features", "naive_bayes"]
+    new = {(r.example_id, r.model, r.label): (r.score, r.raw) for r in again.scores.collect()}
+    assert set(new) == set(old)
+    assert {k for k in new if new[k] != old[k] and k[1] != "majority_vote"} <= {k for k in new if k[1] == "linear_svm"}
+    assert any(new[k] != old[k] for k in new if k[1] == "linear_svm")
+
+
+@pytest.mark.parametrize("buckets", [None, 3])
+def test_the_input_is_computed_once(spark, inputs, tmp_path, buckets):
+    met = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        met.add(1)
+        return text
+
+    given = inputs[0].withColumn("text", counted.asNondeterministic()("text"))
+    rows = inputs[0].count()
+    run_bayes(spark, inputs, tmp_path, given, buckets=buckets)
+    assert met.value == rows
+    again = run_bayes(spark, inputs, tmp_path, given, buckets=buckets)
+    assert met.value == 2 * rows and again.resumed == ["features", "naive_bayes"]
+
+
+def test_missing_values_change_the_digest(spark):
+    digest = lambda *row: artifacts.content_digest(spark.createDataFrame([row], "a string, b string"))
+    assert len({str(digest(*row)) for row in [("x", None), (None, "x"), ("x", "x"), (None, None)]}) == 4
+    table = spark.createDataFrame([(1, "x", None), (2, None, "x")], "example_id long, a string, b string")
+    assert artifacts.keyed_digest(table, "example_id") == artifacts.content_digest(table)
+
+
 def test_keys_must_be_unique(spark, inputs, tmp_path):
     twice = inputs[0].unionByName(inputs[0].limit(1))
     missing = inputs[0].withColumn("example_id", F.when(F.col("example_id") > 5, F.col("example_id")))
