@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelweave.functions.text import word_ngrams
-from labelweave.operators.lookup import broadcast_if_small
+from labelweave.operators.lookup import broadcast_if_small, is_small
 from labelweave.scratch import settle
 
 
@@ -42,6 +42,53 @@ def term_statistics(df: DataFrame, tokens: str, orders: list[int]) -> DataFrame:
     )
 
 
+def candidate_statistics(df: DataFrame, tokens: str, n: int, frequent: DataFrame) -> DataFrame:
+    """``term_statistics`` of the n-grams whose two (n-1)-grams are both in ``frequent`` (term), a small table.
+
+    An n-gram cannot be in more documents than a part of it, so all that are frequent are among them; the many
+    others are left out in the map tasks, before anything is shuffled. Tokens must not hold blanks.
+    """
+    grams = word_ngrams(F.col(tokens), n)
+    bags = [
+        F.struct(F.lit(every).alias("every"), bag.alias("terms"))
+        for every, bag in ((True, grams), (False, F.array_distinct(grams)))
+    ]
+    rows = df.select(F.inline(F.array(*bags))).select("every", F.explode("terms").alias("term"))
+    parts = rows.select(
+        "*",
+        F.substring_index("term", " ", n - 1).alias("_head"),
+        F.substring_index("term", " ", 1 - n).alias("_tail"),
+    )
+    for part in ("_head", "_tail"):
+        parts = parts.join(F.broadcast(frequent.select(F.col("term").alias(part))), part, "left_semi")
+    every = F.col("every")
+    return parts.groupBy(F.lit(n).alias("n"), "term").agg(
+        F.sum(F.when(every, 1).otherwise(0)).alias("occurrences"),
+        F.sum(F.when(every, 0).otherwise(1)).alias("documents"),
+    )
+
+
+def frequent_terms(df: DataFrame, tokens: str, orders: list[int], min_df: int, **bounds: int) -> DataFrame:
+    """Stored (n, term, occurrences, documents) of the n-grams that ``min_df`` documents have.
+
+    One pass for each order, the shorter n-grams first: they tell which longer ones can be frequent at all (the
+    two orders below a wanted one are counted for that alone). Where they are too many to be broadcast, all
+    longer ones are counted.
+    """
+    kept, below = [], None
+    for n in range(1, max(orders) + 1):
+        if n not in orders and n + 1 not in orders and n + 2 not in orders:
+            below = None
+            continue
+        counted = term_statistics(df, tokens, [n]) if below is None else candidate_statistics(df, tokens, n, below)
+        frequent = settle(counted.filter(F.col("documents") >= min_df), f"terms_{n}")
+        if n in orders:
+            kept.append(frequent)
+        terms = frequent.select("term")
+        below = terms if n < max(orders) and is_small(terms, **bounds) else None
+    return reduce(lambda left, right: left.unionByName(right), kept)
+
+
 def occurrence_cuts(counted: DataFrame, max_vocab: int) -> dict[int, int]:
     """Per order, an occurrence count that at least ``max_vocab`` terms reach (0 if fewer exist).
 
@@ -88,11 +135,10 @@ def vocabularies(
 ) -> DataFrame:
     """(n, term, occurrences, documents, index, idf) of every order.
 
-    Terms below ``min_df`` are gone before the table is settled, so the top-k of each order reads
-    a small part of the counts.
+    Terms below ``min_df`` are gone before the counts are stored, so the top-k of each order reads
+    a small part of them.
     """
-    statistics = term_statistics(df, tokens, orders).filter(F.col("documents") >= min_df)
-    counted = settle(statistics, "terms")
+    counted = frequent_terms(df, tokens, orders, min_df)
     cuts = occurrence_cuts(counted, max_vocab)
     tops = reduce(
         lambda left, right: left.unionByName(right),

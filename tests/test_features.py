@@ -54,6 +54,43 @@ def test_statistics_equal_counting(spark, docs):
     assert got == want
 
 
+def shuffled_rows(df):
+    """Rows that the job's exchanges wrote, from the metrics of the plan that ran."""
+    df.collect()
+    plan, total, open_nodes = df._jdf.queryExecution().executedPlan(), 0, []
+    open_nodes.append(plan)
+    while open_nodes:
+        node = open_nodes.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            open_nodes.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            open_nodes.append(node.plan())
+        if kind == "ShuffleExchangeExec":
+            total += node.metrics().apply("shuffleRecordsWritten").value()
+        children = node.children()
+        open_nodes += [children.apply(i) for i in range(children.size())]
+    return total
+
+
+@pytest.mark.parametrize("bounds", [{}, {"max_rows": 0}])
+def test_frequent_terms_equal_counting_all(spark, docs, bounds):
+    words = with_tokens(docs).select("tokens")
+    for orders, least in (([1, 2, 3], 3), ([3], 2), ([2, 1], 5), ([1, 4], 2)):
+        want = vocabulary.term_statistics(words, "tokens", orders).filter(F.col("documents") >= least).collect()
+        got = vocabulary.frequent_terms(words, "tokens", orders, least, **bounds).collect()
+        key = lambda r: (r.n, r.term, r.occurrences, r.documents)
+        assert sorted(map(key, got)) == sorted(map(key, want)) and want
+
+
+def test_most_long_terms_are_never_shuffled(spark, docs):
+    words = with_tokens(docs).select("tokens")
+    pairs = vocabulary.frequent_terms(words, "tokens", [2], 3)
+    every = shuffled_rows(vocabulary.term_statistics(words, "tokens", [3]))
+    candidates = shuffled_rows(vocabulary.candidate_statistics(words, "tokens", 3, pairs))
+    assert 0 < candidates < every / 2
+
+
 @pytest.mark.parametrize("size", [1, 7, 100_000])
 def test_vocabulary_limits(spark, docs, size):
     words = with_tokens(docs).select("tokens")
