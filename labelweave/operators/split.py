@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +14,12 @@ from labelweave.scratch import settle
 
 # Sorts after every hex digit, so 'ab' + AFTER closes the bucket of all digests starting 'ab'.
 AFTER = "g"
+#: Rows of a stratum that one task may rank.
+MAX_RANKED = 1_000_000
+#: Hex digits of a digest.
+DIGEST_DIGITS = 32
+#: Digits by which a prefix that holds too many rows is lengthened.
+MORE_DIGITS = 3
 
 
 def _keyed(df: DataFrame, key: str, stratum: str, seed: int, digits: int) -> DataFrame:
@@ -49,16 +58,26 @@ def _same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
     return condition
 
 
+def _digits_for(keyed: DataFrame, digits: int, max_rows: int) -> int:
+    """Digits at which the prefixes of the largest stratum hold ``max_rows`` rows at most, on average."""
+    sizes = keyed.groupBy("_stratum").agg(F.count(F.lit(1)).alias("rows"))
+    largest = sizes.agg(F.max("rows")).first()[0] or 0
+    while digits < DIGEST_DIGITS and largest > max_rows * 16**digits:
+        digits += 1
+    return digits
+
+
 def percent_ranks(
-    df: DataFrame, key: str, stratum: str, *, seed: int = 42, digits: int = 3
+    df: DataFrame, key: str, stratum: str, *, seed: int = 42, digits: int = 3, max_rows: int = MAX_RANKED
 ) -> DataFrame:
     """``percent_rank()`` within each stratum in seeded-hash order, for every row.
 
-    Equal to the plain window, but a stratum is spread over up to 16^digits window groups: the
-    rank inside a digest prefix plus the number of rows in smaller prefixes. A stratum holding a
-    third of all rows is therefore no hot group.
+    Equal to the plain window, but a stratum is spread over 16^digits window groups or more, so that none holds
+    much over ``max_rows``: the rank inside a digest prefix plus the number of rows in smaller prefixes. A
+    stratum holding a third of all rows is therefore no hot group.
     """
     keyed = _keyed(df, key, stratum, seed, digits)
+    keyed = _keyed(df, key, stratum, seed, _digits_for(keyed, digits, max_rows))
     spans = broadcast_if_small(settle(bucket_spans(keyed), "spans"))
     placed = keyed.join(spans, _same(keyed, spans, ["_stratum", "_bucket"])).select(
         keyed["_stratum"], keyed["_bucket"], "_key", "_digest", "_first", "_divisor"
@@ -72,6 +91,56 @@ def percent_ranks(
     )
 
 
+def _open_rows(keyed: DataFrame, edges: DataFrame, digits: int) -> DataFrame:
+    """Rows of ``keyed`` in the prefixes of ``edges``, with the prefix's rank range."""
+    bucketed = keyed.withColumn("_bucket", F.substring("_digest", 1, digits))
+    small = broadcast_if_small(edges.select("_stratum", "_bucket", "_first", "_divisor"))
+    return bucketed.join(small, _same(bucketed, small, ["_stratum", "_bucket"])).select(
+        bucketed["_stratum"], bucketed["_bucket"], "_key", "_digest", "_first", "_divisor"
+    )
+
+
+def _finer(keyed: DataFrame, wide: DataFrame, digits: int, finer: int) -> DataFrame:
+    """Spans of the longer prefixes within the prefixes of ``wide``."""
+    inside = _open_rows(keyed, wide, digits)
+    counts = inside.groupBy(
+        "_stratum", "_bucket", "_first", "_divisor", F.substring("_digest", 1, finer).alias("_finer")
+    ).agg(F.count(F.lit(1)).alias("_rows"))
+    before = F.sum("_rows").over(Window.partitionBy("_stratum", "_bucket").orderBy("_finer"))
+    return counts.select(
+        "_stratum",
+        F.col("_finer").alias("_bucket"),
+        (F.col("_first") + before - F.col("_rows")).alias("_first"),
+        (F.col("_first") + before - 1).alias("_last"),
+        "_divisor",
+    )
+
+
+def refined_spans(
+    keyed: DataFrame, opens: Callable[[Column, Column], Column], digits: int, max_rows: int
+) -> list[tuple[int, DataFrame, DataFrame]]:
+    """(digits, closed spans, open spans) of one prefix length after the other.
+
+    ``opens`` tells from the first and last position of a span whether a cut falls inside. Open prefixes with
+    more than ``max_rows`` rows are lengthened and counted again, so that only small ones stay open.
+    """
+    levels = []
+    spans = settle(bucket_spans(keyed), "spans")
+    while True:
+        at = lambda rank: F.col(rank).cast("double") / F.col("_divisor").cast("double")
+        is_open = opens(at("_first"), at("_last"))
+        many = F.col("_last") - F.col("_first") + 1 > max_rows
+        if digits >= DIGEST_DIGITS:
+            many = F.lit(False)
+        levels.append((digits, spans.filter(~is_open), spans.filter(is_open & ~many)))
+        wide = spans.filter(is_open & many)
+        if wide.isEmpty():
+            return levels
+        finer = min(DIGEST_DIGITS, digits + MORE_DIGITS)
+        spans = settle(_finer(keyed, wide, digits, finer), "spans")
+        digits = finer
+
+
 def stratified_cuts(
     df: DataFrame,
     key: str,
@@ -80,17 +149,16 @@ def stratified_cuts(
     *,
     seed: int = 42,
     digits: int = 3,
+    max_rows: int = MAX_RANKED,
 ) -> DataFrame:
     """Per stratum, the last (digest, key) of the train part and of the validation part.
 
-    Two narrow passes over key and stratum. The first counts digest prefixes. Rank ranges settle
-    all prefixes but the (at most two per stratum) in which a cut falls; the second pass ranks
-    the rows of those prefixes only, about 2/16^digits of the table. More digits make the second
-    pass smaller and the counts that the first one shuffles more numerous.
+    Narrow passes over key and stratum. The first counts digest prefixes. Rank ranges settle all prefixes but
+    the (at most two per stratum) in which a cut falls; these are lengthened until they hold ``max_rows`` rows
+    at most, and a last pass ranks their keys. A key that many rows share is ranked once, with its count.
     """
     train_end, validation_end = ratios
     keyed = _keyed(df, key, stratum, seed, digits)
-    spans = settle(bucket_spans(keyed), "spans")
 
     def zone(position: Column) -> Column:
         return F.when(position <= train_end, 0).when(position <= validation_end, 1).otherwise(2)
@@ -98,29 +166,24 @@ def stratified_cuts(
     def at(rank: Column) -> Column:
         return rank.cast("double") / F.col("_divisor").cast("double")
 
-    zoned = spans.withColumn("_open", zone(at(F.col("_first"))) != zone(at(F.col("_last"))))
-    closed = zoned.filter(~F.col("_open")).select(
-        "_stratum",
-        at(F.col("_last")).alias("_position"),
-        F.struct(
+    points = []
+    for length, closed, opened in refined_spans(keyed, lambda a, b: zone(a) != zone(b), digits, max_rows):
+        end = F.struct(
             F.concat("_bucket", F.lit(AFTER)).alias("digest"),
             F.lit(None).cast(df.schema[key].dataType).alias("key"),
-        ).alias("_point"),
-    )
-    # At most two prefixes per stratum are open.
-    edges = broadcast_if_small(zoned.filter("_open").select("_stratum", "_bucket", "_first", "_divisor"))
-    inside = Window.partitionBy("_stratum", "_bucket").orderBy("_digest", "_key")
-    ranked = (
-        keyed.join(edges, _same(keyed, edges, ["_stratum", "_bucket"]))
-        .select(keyed["_stratum"], keyed["_bucket"], "_key", "_digest", "_first", "_divisor")
-        .select(
-            "_stratum",
-            at(F.col("_first") + F.rank().over(inside) - 1).alias("_position"),
-            F.struct(F.col("_digest").alias("digest"), F.col("_key").alias("key")).alias("_point"),
         )
-    )
+        points.append(closed.select("_stratum", at(F.col("_last")).alias("_position"), end.alias("_point")))
+        keys = (
+            _open_rows(keyed, opened, length)
+            .groupBy("_stratum", "_bucket", "_digest", "_key", "_first", "_divisor")
+            .agg(F.count(F.lit(1)).alias("_rows"))
+        )
+        inside = Window.partitionBy("_stratum", "_bucket").orderBy("_digest", "_key")
+        rank = F.col("_first") + F.sum("_rows").over(inside) - F.col("_rows")
+        point = F.struct(F.col("_digest").alias("digest"), F.col("_key").alias("key"))
+        points.append(keys.select("_stratum", at(rank).alias("_position"), point.alias("_point")))
     cuts = (
-        closed.unionByName(ranked)
+        reduce(DataFrame.unionByName, points)
         .groupBy("_stratum")
         .agg(
             F.max(F.when(F.col("_position") <= train_end, F.col("_point"))).alias("_train"),
@@ -138,6 +201,7 @@ def stratified_split(
     *,
     seed: int = 42,
     digits: int = 3,
+    max_rows: int = MAX_RANKED,
 ) -> DataFrame:
     """Add ``split``: exactly the rows a per-stratum ``percent_rank`` split would pick.
 
@@ -147,7 +211,7 @@ def stratified_split(
     train_end = ratios[0]
     validation_end = ratios[0] + ratios[1]
     cuts = broadcast_if_small(
-        stratified_cuts(df, key, stratum, (train_end, validation_end), seed=seed, digits=digits)
+        stratified_cuts(df, key, stratum, (train_end, validation_end), seed=seed, digits=digits, max_rows=max_rows)
     )
     point = F.struct(seeded_hash(F.col(key), seed).alias("digest"), F.col(key).alias("key"))
     joined = df.join(cuts, F.col(stratum).eqNullSafe(F.col("_stratum")))

@@ -52,6 +52,38 @@ def test_bucketed_ranks_equal_sorting(spark):
     assert got == {k: rank for k, (rank, _) in brute_force(ROWS).items()}
 
 
+@pytest.mark.parametrize(("digits", "max_rows"), [(1, 5), (1, 1), (3, 2), (32, 1)])
+def test_lengthened_prefixes_give_the_same_split(spark, digits, max_rows):
+    df = spark.createDataFrame(ROWS, "k long, s string")
+    got = split.stratified_split(df, "k", "s", digits=digits, max_rows=max_rows).collect()
+    assert {r.k: r.split for r in got} == {k: part for k, (_, part) in brute_force(ROWS).items()}
+    ranks = split.percent_ranks(df, "k", "s", digits=1, max_rows=max_rows).collect()
+    assert {r.k: r["rank"] for r in ranks} == {k: rank for k, (rank, _) in brute_force(ROWS).items()}
+
+
+def test_a_large_stratum_is_ranked_in_small_parts(spark):
+    df = spark.range(1_000_000).selectExpr("id AS k", "'all' AS s")
+    keyed = split._keyed(df, "k", "s", 42, 1)
+    opens = lambda a, b: (a <= 0.7) != (b <= 0.7)
+    levels = split.refined_spans(keyed, opens, 1, 1_000)
+    assert [digits for digits, _, _ in levels] == [1, 4]
+    rows = [r for _, _, opened in levels for r in opened.collect()]
+    assert rows and max(r["_last"] - r["_first"] + 1 for r in rows) <= 1_000
+    # All ranks are there once: closed and open spans follow each other without a gap.
+    spans = sorted((r["_first"], r["_last"]) for _, closed, opened in levels for r in closed.collect() + opened.collect())
+    assert spans[0][0] == 0 and spans[-1][1] == 999_999 and all(a[1] + 1 == b[0] for a, b in zip(spans, spans[1:]))
+    counts = {r.split: r.rows for r in split.split_counts(split.stratified_split(df, "k", "s", digits=1, max_rows=1_000)).collect()}
+    assert counts == {"train": 700_000, "validation": 150_000, "test": 150_000}
+
+
+def test_a_key_that_many_rows_share_is_one_place(spark):
+    rows = [(7, "s")] * 400 + [(i, "s") for i in range(1_000, 1_600)]
+    df = spark.createDataFrame(rows, "k long, s string")
+    plain = {(r.k, r.split) for r in split.stratified_split(df, "k", "s").collect()}
+    fine = {(r.k, r.split) for r in split.stratified_split(df, "k", "s", digits=1, max_rows=3).collect()}
+    assert plain == fine and len({part for k, part in plain if k == 7}) == 1
+
+
 def test_small_strata(spark):
     df = spark.createDataFrame(ROWS, "k long, s string")
     parts = {r.k: r.split for r in split.stratified_split(df, "k", "s").filter("s != 'hot'").collect()}
