@@ -474,12 +474,38 @@ def statements() -> dict[str, str]:
         + "SELECT exs.id AS example_id"
         + last.replace(" FROM exs ", f" FROM {every_document} ")
     )
-    sql["feature_model_roundtrip_all"] = sql["feature_table_all"]
+    sql["feature_table"] = sql["feature_model_roundtrip_all"] = sql["feature_table_all"]
     sql["tfidf_long_all"] = with_(*every) + " UNION ALL ".join(
         f"SELECT doc_id, {n}::INTEGER AS n, term, count(*)::DOUBLE AS tf, "
         f"round(count(*) * any_value({_idf(total)}), 6) AS tfidf FROM g{n} JOIN v{n} USING (term) GROUP BY doc_id, term"
         for n in (1, 2, 3)
     )
+    named = [("lexicon", LEX_COLUMNS), ("vad", VAD_COLUMNS), ("linguistic", style_columns(False))]
+    ordered = [name for _, columns in named for name in _names(columns)]
+    before = "0"
+    vector = []
+    for n in (1, 2, 3):
+        vector.append(
+            f"SELECT doc_id, (any_value(\"index\") + {before})::INTEGER AS place, 'tfidf_{n}gram_' || any_value(\"index\") AS name, "
+            f"round(count(*) * any_value({_idf(train_total)}), 5) AS value FROM g{n}_all JOIN v{n} USING (term) GROUP BY doc_id, term"
+        )
+        before += f" + (SELECT count(*) FROM v{n})"
+    places = ", ".join(f"('{name}', {i})" for i, name in enumerate(ordered))
+    vector.append(
+        f"SELECT doc_id, (p.pos + {before})::INTEGER AS place, name, round(value, 5) AS value FROM "
+        "(UNPIVOT wide ON * EXCLUDE (doc_id) INTO NAME name VALUE value) "
+        f"JOIN (VALUES {places}) AS p(name, pos) USING (name)"
+    )
+    sql["assembled_vector"] = with_(
+        *train_parts, *[gram_rows(n, "tok", f"g{n}_all") for n in (1, 2, 3)],
+        WORDS, EMOTION, FLAGS, VAD, TOKEN_ROWS, LEX_SUMS, VAD_SUMS, STYLE_BASE,
+        "lexf AS (SELECT doc_id, " + ", ".join(LEX_EXACT) + " FROM lex)",
+        "vadf AS (SELECT doc_id, " + ", ".join(VAD_EXACT) + " FROM vs)",
+        "styf AS (SELECT doc_id, " + ", ".join(style_columns(False, exact=True)) + " FROM sty)",
+        "wide AS (SELECT doc_id, " + ", ".join(f"{name}::DOUBLE AS {name}" for name in ordered)
+        + " FROM lexf JOIN vadf USING (doc_id) JOIN styf USING (doc_id))",
+        "vec AS (" + " UNION ALL ".join(vector) + ")",
+    ) + "SELECT doc_id AS example_id, place, name, value FROM vec WHERE value != 0"
     scalars = [f"greatest({name}, 0.0::DOUBLE) AS {name}" for name in _names(LEX_COLUMNS)]
     scalars += _names(VAD_COLUMNS) + STYLE_FEATURES
     size = f"({fixed} + " + " + ".join(f"(SELECT count(*) FROM v{n})" for n in (1, 2, 3)) + ")"
@@ -551,6 +577,10 @@ def statements() -> dict[str, str]:
     sql["prediction_join"] = with_(*CHAIN, SCORES, _pivoted(BASE_MODELS)) + (
         "SELECT * FROM joined"
     )
+    sql["prediction_join_by_text"] = with_(*CHAIN, SCORES, _pivoted(BASE_MODELS)) + (
+        "SELECT md5(text) AS text_digest, joined.* EXCLUDE (example_id) FROM joined "
+        "JOIN (SELECT text, min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL GROUP BY text) ON doc_id = example_id"
+    )
     sql["majority_vote"] = with_(*WITH_VOTES) + f"SELECT {score_columns} FROM votes"
     sql["threshold_grid"] = with_(*WITH_VOTES, GRID) + (
         f"SELECT model, label, threshold, tp, fp, fn, {_ROUNDED} FROM grid"
@@ -572,6 +602,9 @@ def statements() -> dict[str, str]:
         )
         + " FROM canon GROUP BY example_id, split, model"
     )
+    sql["prediction_texts"] = (
+        f"SELECT p.*, text FROM ({sql['prediction_columns']}) p LEFT JOIN documents ON doc_id = example_id"
+    )
     sql["confusion"] = with_(*DECIDED, CONFUSION) + "SELECT * FROM conf"
     sql["per_label_metrics"] = with_(*DECIDED, CONFUSION, PER_LABEL) + (
         f"SELECT model, split, label, support, {_ROUNDED} FROM pl"

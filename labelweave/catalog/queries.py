@@ -26,6 +26,7 @@ from labelweave.operators.features import (
     clip_non_negative,
     feature_dims,
     fit_features,
+    vector_rows,
     with_tokens,
 )
 from labelweave.plans.scoring import ScoringBundle, score_table
@@ -314,20 +315,6 @@ def _rounded_features(model: FeatureModel, examples: DataFrame) -> DataFrame:
     return plain.select("example_id", "split", *sums, *model.scalar_columns)
 
 
-@query
-def feature_table(spark: SparkSession, sf: str) -> DataFrame:
-    examples, model = _fitted(spark, sf)
-    return _rounded_features(model, examples)
-
-
-@query
-def feature_model_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    examples, model = _fitted(spark, sf)
-    path = scratch_path(spark, "feature_model")
-    model.save(path)
-    return _rounded_features(FeatureModel.load(spark, path), examples)
-
-
 def _every_document(spark: SparkSession, sf: str, examples: DataFrame) -> DataFrame:
     """All documents; those without a label have no split."""
     docs = fx.texts(spark, sf).withColumnRenamed("doc_id", "example_id")
@@ -335,20 +322,33 @@ def _every_document(spark: SparkSession, sf: str, examples: DataFrame) -> DataFr
 
 
 @query
-def feature_table_all(spark: SparkSession, sf: str) -> DataFrame:
-    """``feature_table`` for all documents, by the model of the labelled train rows."""
+def feature_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Features of all documents, by the model of the labelled train rows."""
     examples, model = _fitted(spark, sf)
     return _rounded_features(model, _every_document(spark, sf, examples))
 
 
 @query
-def feature_model_roundtrip_all(spark: SparkSession, sf: str) -> DataFrame:
+def feature_model_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     examples, model = _fitted(spark, sf)
     path = scratch_path(spark, "feature_model")
     model.save(path)
     return _rounded_features(FeatureModel.load(spark, path), _every_document(spark, sf, examples))
 
 
+# The names under which the whole tables were first given.
+REGISTRY["feature_table_all"] = feature_table
+REGISTRY["feature_model_roundtrip_all"] = feature_model_roundtrip
+
+
+@query
+def assembled_vector(spark: SparkSession, sf: str) -> DataFrame:
+    """Every entry of the vectors of all documents, by its place and its name in the vector's metadata."""
+    examples, model = _fitted(spark, sf)
+    rows = vector_rows(model.transform(_every_document(spark, sf, examples)), "example_id")
+    return rounded(rows, "value", digits=5)
+
+
 @query
 def clip_non_negative_query(spark: SparkSession, sf: str) -> DataFrame:
     measured = lexicon.lexicon_measures(
@@ -420,6 +420,15 @@ def prediction_join(spark: SparkSession, sf: str) -> DataFrame:
     return scores.prediction_join(fx.scores(spark, sf), BASE_MODELS)
 
 
+@query
+def prediction_join_by_text(spark: SparkSession, sf: str) -> DataFrame:
+    """``prediction_join`` of scores that have texts in place of keys; of equal texts the first example is taken."""
+    docs = fx.table(spark, sf, "documents").filter(F.col("text").isNotNull())
+    first = docs.groupBy("text").agg(F.min("doc_id").alias("example_id"))
+    keyless = fx.scores(spark, sf).join(first, "example_id").drop("example_id")
+    return scores.prediction_join(keyless, BASE_MODELS)
+
+
 @query
 def majority_vote(spark: SparkSession, sf: str) -> DataFrame:
     return scores.majority_vote(fx.scores(spark, sf), BASE_MODELS)
@@ -483,6 +492,13 @@ def prediction_columns(spark: SparkSession, sf: str) -> DataFrame:
     return scores.prediction_columns(_decided(spark, sf), LABELS)
 
 
+@query
+def prediction_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """``prediction_columns`` with the text of each example."""
+    texts = fx.texts(spark, sf).withColumnRenamed("doc_id", "example_id")
+    return scores.prediction_columns(_decided(spark, sf), LABELS, texts)
+
+
 @query
 def confusion(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.confusion(_decided(spark, sf))

@@ -34,6 +34,7 @@ from labelweave.operators.lexicon import (
     term_weights,
     vad_features,
 )
+from labelweave.operators.lookup import broadcast_if_small
 from labelweave.operators.vocabulary import vocabularies
 from labelweave.scratch import settle
 
@@ -216,6 +217,24 @@ def feature_width(df: DataFrame, column: str = "features") -> int | None:
     return None if width is None else int(width)
 
 
+def vector_names(df: DataFrame, column: str = "features") -> list[tuple[int, str]]:
+    """(place, name) of every entry of an assembled vector, from the column metadata."""
+    groups = df.schema[column].metadata["ml_attr"]["attrs"].values()
+    return sorted((entry["idx"], entry["name"]) for group in groups for entry in group)
+
+
+def vector_rows(df: DataFrame, key: str, column: str = "features") -> DataFrame:
+    """(key, place, name, value) of the entries of assembled vectors that are not zero."""
+    names = df.sparkSession.createDataFrame(vector_names(df, column), "place int, name string")
+    parts = F.unwrap_udt(column)
+    values = parts.getField("values")
+    # A dense vector has no list of places.
+    places = F.coalesce(parts.getField("indices"), F.sequence(F.lit(0), F.size(values) - 1))
+    entries = F.arrays_zip(places.alias("place"), values.alias("value"))
+    rows = df.select(key, F.inline(entries)).toDF(key, "place", "value").filter("value != 0")
+    return rows.join(broadcast_if_small(names), "place").select(key, "place", "name", "value")
+
+
 def feature_dims(model: FeatureModel, transformed: DataFrame) -> DataFrame:
     """(block, dims): width of every block of the assembled vector and of the whole."""
     dims = [

@@ -43,15 +43,32 @@ def _models(scores: DataFrame, models: list[str] | None) -> list[str]:
     return models
 
 
+def _with_key(scores: DataFrame) -> tuple[DataFrame, str]:
+    """The scores and the column that tells examples apart: their key, or else a digest of their text."""
+    if "example_id" in scores.columns:
+        return scores, "example_id"
+    if "text" not in scores.columns:
+        raise ValueError("scores lack an example_id and a text to join by")
+    digest = F.md5(F.col("text").cast("binary")).alias("text_digest")
+    rest = [c for c in scores.columns if c != "text"]
+    keyed = scores.filter(F.col("text").isNotNull()).select(digest, *rest)
+    twice = keyed.groupBy("text_digest", "model", "label").count().filter("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"a text occurs more than once ({twice[0]['text_digest']}); give the scores an example_id")
+    return keyed, "text_digest"
+
+
 def prediction_join(scores: DataFrame, models: list[str] | None = None) -> DataFrame:
     """One row per (example, label) present in all models, with a score and pred column for each.
 
     A grouped pivot: one shuffle for any number of models, in place of a join per model. A model that has
-    several rows for an example and label counts once; its largest score and prediction are taken.
+    several rows for an example and label counts once; its largest score and prediction are taken. Scores
+    without ``example_id`` are joined by the 128-bit digest of their ``text``, as ``text_digest``; a missing text
+    joins nothing, and a repeated one raises an error, as its rows cannot be told apart.
     """
-    missing = {"example_id", "label"} - set(scores.columns)
-    if missing:
-        raise ValueError(f"scores lack the key columns {sorted(missing)}")
+    if "label" not in scores.columns:
+        raise ValueError("scores lack the column label")
+    scores, key = _with_key(scores)
     names = _models(scores, models)
     columns = []
     for name in names:
@@ -61,7 +78,7 @@ def prediction_join(scores: DataFrame, models: list[str] | None = None) -> DataF
             F.max(F.when(mine, F.col("pred"))).alias(f"pred_{name}"),
             F.max(mine.cast("int")).alias(f"_has_{name}"),
         ]
-    joined = scores.groupBy("example_id", "split", "label", "label_pos").agg(
+    joined = scores.groupBy(key, "split", "label", "label_pos").agg(
         F.max("y").alias("y"), *columns
     )
     flags = [f"_has_{name}" for name in names]
@@ -87,7 +104,7 @@ def majority_vote(scores: DataFrame, models: list[str] | None = None) -> DataFra
     raw = [F.lit(None).cast("double").alias("raw")] if "raw" in scores.columns else []
     share = vote_share([F.coalesce(f"score_{m}", f"pred_{m}") for m in names])
     return joined.withColumn("score", share).select(
-        "example_id",
+        joined.columns[0],  # the key
         "split",
         F.lit(ENSEMBLE).alias("model"),
         "label",

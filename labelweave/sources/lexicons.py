@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+LOG = logging.getLogger(__name__)
 EMOTION_SCHEMA = "term string, emotion string, association int"
 VAD_SCHEMA = "term string, valence double, arousal double, dominance double"
 VAD_DIMENSIONS = ["valence", "arousal", "dominance"]
@@ -60,10 +63,10 @@ def unique_vad_terms(rows: DataFrame) -> DataFrame:
 
 
 def vad_or_empty(spark: SparkSession, path: str | None) -> tuple[DataFrame, bool]:
-    """The VAD lexicon and True, or an empty one and False when it cannot be read."""
+    """The VAD lexicon and True, or an empty one and False when it cannot be read; the reason is logged."""
     if path is not None:
         try:
             return read_vad_lexicon(spark, path), True
-        except (AnalysisException, FileNotFoundError, ValueError):
-            pass
+        except (AnalysisException, FileNotFoundError, ValueError) as error:
+            LOG.warning("VAD lexicon cannot be read, its features are 0: %s", error)
     return spark.createDataFrame([], VAD_SCHEMA), False

@@ -115,9 +115,10 @@ def test_vad_reader(spark, tmp_path):
         lexicons.read_vad_lexicon(spark, str(tmp_path / "missing.csv"))
 
 
-def test_missing_vad_lexicon_is_empty(spark, tmp_path):
+def test_missing_vad_lexicon_is_empty(spark, tmp_path, caplog):
     table, available = lexicons.vad_or_empty(spark, str(tmp_path / "missing.csv"))
     assert not available and table.count() == 0
+    assert "no VAD lexicon at" in caplog.text
     docs = spark.createDataFrame([(1, ["a"])], DOCS)
     row = lexicon.vad_measures(docs, table, "k", "tokens").first().asDict()
     assert set(row.values()) == {1, 0.0}

@@ -40,6 +40,18 @@ def test_only_examples_of_all_models_are_joined(spark):
         scores.prediction_join(table(spark, rows).drop("example_id"), ["a", "b"])
 
 
+def test_scores_without_keys_are_joined_by_text(spark):
+    rows = [(t, "test", m, "joy", 0, 1.0, v, 1.0) for t, m, v in
+            [("x", "a", 0.5), ("x", "b", 0.7), ("y", "a", 0.5), (None, "a", 0.1), (None, "b", 0.2)]]
+    schema = SCORES_SCHEMA.replace("example_id long", "text string").replace(", raw double", "")
+    joined = scores.prediction_join(spark.createDataFrame(rows, schema)).collect()
+    assert [(r.text_digest, r.score_a, r.score_b) for r in joined] == [("9dd4e461268c8034f5c8564e155c67a6", 0.5, 0.7)]
+    (vote,) = scores.majority_vote(spark.createDataFrame(rows, schema)).collect()
+    assert vote.score == pytest.approx(0.6) and vote.text_digest == joined[0].text_digest
+    with pytest.raises(ValueError, match="more than once"):
+        scores.prediction_join(spark.createDataFrame([*rows, rows[0]], schema))
+
+
 def test_positive_score(spark):
     df = spark.createDataFrame([(Vectors.dense([0.2, 0.8]), Vectors.dense([1.0]), 0.3)], ["two", "one", "plain"])
     row = df.select(

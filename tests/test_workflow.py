@@ -417,6 +417,30 @@ def test_csv_keeps_texts(spark, tmp_path):
         annotations.read_annotation_csv(spark, [])
 
 
+def test_shards_with_many_headers_take_few_jobs(spark, tmp_path):
+    (tmp_path / "with blank %20").mkdir()
+    paths = []
+    for i in range(12):
+        path = tmp_path / "with blank %20" / f"shard {i}.csv"
+        head, row = (("id,text,flag", f'{i},"a,\n{i}",x') if i % 2 else ("flag,id,text", f"x,{i},plain"))
+        path.write_text(f"{head}\n{row}\n", encoding="utf-8")
+        paths.append(str(path))
+    odd = tmp_path / "odd.csv"
+    odd.write_text('"id",text,"fl\nag"\n1,t,x\n', encoding="utf-8")
+    groups = annotations.header_groups(spark, [*paths, str(odd)])
+    assert sorted(map(len, groups)) == [1, 6, 6]
+    back = annotations.read_annotation_csv(spark, paths).collect()
+    assert sorted((int(r.id), r.text, r.flag) for r in back) == [(i, f"a,\n{i}" if i % 2 else "plain", "x") for i in range(12)]
+    tracker = spark.sparkContext.statusTracker()
+    counts = []
+    for files in (paths[:2], paths):
+        spark.sparkContext.setJobGroup(f"headers-{len(files)}", "headers")
+        annotations.read_annotation_csv(spark, files)
+        counts.append(len(tracker.getJobIdsForGroup(f"headers-{len(files)}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert counts[0] == counts[1] > 0
+
+
 def test_optional_reads(spark, tmp_path):
     assert artifacts.read_if_present(spark, str(tmp_path / "none")) is None
     assert artifacts.read_thresholds(spark, str(tmp_path / "none")) is None
