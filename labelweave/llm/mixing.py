@@ -157,13 +157,14 @@ def balanced_sample(rows: DataFrame, *, seed: int = 0, block_rows: int = BLOCK_R
     open_ = settle(rows.filter((F.col("_p") > _SURE) & (F.col("_p") < 1 - _SURE)), "open")
     level = 0
     while True:
-        counts = dict(open_.groupBy("_rank").count().collect())
-        if not counts:
+        # A narrow row for each source with open rows.
+        blocks = settle(open_.groupBy("_rank").agg(F.ceil(F.count("*") / block_rows).alias("_blocks")), "blocks")
+        most = blocks.agg(F.max("_blocks")).first()[0]
+        if not most:
             return decided
-        blocks = {rank: max(1, math.ceil(n / block_rows)) for rank, n in counts.items()}
-        last = all(n == 1 for n in blocks.values())
-        by_rank = F.element_at(F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv]), F.col("_rank"))
-        dealt = open_.withColumn("_block", F.pmod(F.xxhash64("_tie", F.lit(level)), by_rank).cast("int"))
+        last = most == 1
+        by_block = F.pmod(F.xxhash64("_tie", F.lit(level)), F.col("_blocks")).cast("int")
+        dealt = open_.join(bounded(blocks), "_rank").withColumn("_block", by_block).drop("_blocks")
         flown = settle(
             dealt.withColumn("_level", F.lit(level)).groupBy("_rank", "_block", "_level").applyInArrow(_fly(last, seed), _FLOWN),
             "flown",
