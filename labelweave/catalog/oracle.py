@@ -492,7 +492,7 @@ def statements() -> dict[str, str]:
         before += f" + (SELECT count(*) FROM v{n})"
     places = ", ".join(f"('{name}', {i})" for i, name in enumerate(ordered))
     vector.append(
-        f"SELECT doc_id, (p.pos + {before})::INTEGER AS place, name, round(value, 5) AS value FROM "
+        f"SELECT doc_id, (p.pos + {before})::INTEGER AS place, name, round(value, 6) AS value FROM "
         "(UNPIVOT wide ON * EXCLUDE (doc_id) INTO NAME name VALUE value) "
         f"JOIN (VALUES {places}) AS p(name, pos) USING (name)"
     )

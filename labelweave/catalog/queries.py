@@ -346,7 +346,8 @@ def assembled_vector(spark: SparkSession, sf: str) -> DataFrame:
     """Every entry of the vectors of all documents, by its place and its name in the vector's metadata."""
     examples, model = _fitted(spark, sf)
     rows = vector_rows(model.transform(_every_document(spark, sf, examples)), "example_id")
-    return rounded(rows, "value", digits=5)
+    value = F.when(F.col("name").startswith("tfidf_"), F.round("value", 5)).otherwise(F.round("value", 6))
+    return rows.withColumn("value", value)
 
 
 @query
