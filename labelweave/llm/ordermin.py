@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelweave.llm.components import connected_components
-from labelweave.llm.rows import bounded, fresh, numbered, without
+from labelweave.llm.rows import bounded, fresh, numbered, release, without
 from labelweave.llm.words import Texts, Words, find_words, mix, text_chunks, window_hashes, word_hashes
 from labelweave.scratch import settle
 
@@ -129,6 +129,7 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 ],
                 ["row", "doc_id", "copy", "sketch"],
             )
+    release()
 
 
 def _sequence_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,6 +144,7 @@ def _sequence_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
                 ],
                 ["copy", "sequence"],
             )
+    release()
 
 
 def longest_increasing(places: np.ndarray) -> int:
@@ -182,6 +184,7 @@ def _align_batches(least: float):
             similar = np.array([aligned_similarity(x, y, least) >= least for x, y in zip(first, second)], bool)
             keep = pa.array(similar)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+        release()
 
     return run
 
@@ -245,6 +248,7 @@ def _block_batches(least: float):
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"]
             )
+        release()
 
     return run
 
