@@ -185,3 +185,21 @@ def test_packing_opens_no_more_than_a_plain_best_fit(seed):
         load = int(sizes[mine].sum())
         assert set(capacity[mine].tolist()) == {min(n for n in lengths if n >= load)}
         assert sorted(offsets[mine].tolist()) == [0, *np.cumsum(sizes[mine][np.argsort(offsets[mine])])[:-1].tolist()]
+
+
+# Held-out toxicity
+
+
+def test_toxicity_of_documents_that_were_not_trained_on(spark):
+    from labelweave.llm import toxicity
+    from labelweave.llm.queries import CATEGORIES, category_labels, table
+
+    sf = "/root/testdata/sf0.1"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    learned = category_labels(docs, labels.filter("doc_id % 10 < 7"))
+    chain = toxicity.fit_chain(learned, CATEGORIES)
+    held = {r.doc_id: r.toxic == 1 for r in labels.filter("doc_id % 10 >= 7").collect()}
+    got = {r.doc_id: r.toxic for r in toxicity.score_documents(docs, chain).collect() if r.doc_id in held}
+    assert len(got) == len(held) > 800
+    assert sum(got[i] != toxic for i, toxic in held.items()) <= 0.05 * len(held)
+    assert sum(got[i] for i, toxic in held.items() if toxic) >= 0.8 * sum(held.values())
