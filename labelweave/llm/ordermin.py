@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelweave.llm.components import connected_components
-from labelweave.llm.rows import bounded, fresh, numbered, release, without
+from labelweave.llm.rows import arrow_rows, bounded, fresh, numbered, release, without
 from labelweave.llm.words import Texts, Words, find_words, mix, text_chunks, window_hashes, word_hashes
 from labelweave.scratch import settle
 
@@ -41,6 +41,8 @@ ENTRIES, TAKEN = 32, 5
 SHORT, SHORT_ENTRIES, SHORT_TAKEN = 24, 12, 2
 #: Members of a bucket that are compared as one block, and k-mers that are counted at a time.
 BLOCK = 512
+#: Texts or sequences that Spark hands to Python at a time.
+BATCH_ROWS = 1_000
 _COLUMNS = 4096
 
 _rng = np.random.default_rng(20_231)
@@ -302,9 +304,11 @@ def near_duplicates(
         docs[key].cast("long").alias("doc_id"),
         docs[text].alias("text"),
     )
-    sketched = settle(
-        rows.mapInArrow(_sketch_batches, "row long, doc_id long, copy binary, sketch array<long>"), "sketches"
-    )
+    spark = docs.sparkSession
+    with arrow_rows(spark, BATCH_ROWS):
+        sketched = settle(
+            rows.mapInArrow(_sketch_batches, "row long, doc_id long, copy binary, sketch array<long>"), "sketches"
+        )
     nodes = settle(
         sketched.groupBy("copy")
         .agg(
@@ -327,18 +331,20 @@ def near_duplicates(
     )
     wanted = bounded(candidates.select(F.col("first_id").alias("doc_id")).distinct())
     texts = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi").select("text")
-    sequences = settle(
-        texts.mapInArrow(_sequence_batches, "copy binary, sequence binary")
-        .join(bounded(candidates.select("copy", "node")), "copy")
-        .groupBy("node")
-        .agg(F.first("sequence").alias("sequence")),
-        "sequences",
-    )
+    with arrow_rows(spark, BATCH_ROWS):
+        sequences = settle(
+            texts.mapInArrow(_sequence_batches, "copy binary, sequence binary")
+            .join(bounded(candidates.select("copy", "node")), "copy")
+            .groupBy("node")
+            .agg(F.first("sequence").alias("sequence")),
+            "sequences",
+        )
 
     first = sequences.select(F.col("node").alias("a"), F.col("sequence").alias("first"))
     second = sequences.select(F.col("node").alias("b"), F.col("sequence").alias("second"))
     both = pairs.join(second, "b").join(first, "a").select("a", "b", "first", "second")
-    links = settle(both.mapInArrow(_align_batches(similarity), "a long, b long"), "links")
+    with arrow_rows(spark, BATCH_ROWS):
+        links = settle(both.mapInArrow(_align_batches(similarity), "a long, b long"), "links")
     components = connected_components(links)
     more = settle(_residual_links(members.select("entry", "node"), sequences, components, similarity), "links")
     if not more.isEmpty():
