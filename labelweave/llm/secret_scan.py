@@ -119,6 +119,7 @@ def scan_documents(
 ) -> DataFrame:
     """(doc_id, blob, n_assign, n_access, n_hex, base_sha256, spans) of each row, scanning only unseen blobs."""
     ledger.scan(docs, text=text)
-    found = ledger.read(docs.sparkSession)
+    # Stored without repeats, so that the join is a plain one whose hot blobs adaptive execution can split.
+    found = settle(ledger.read(docs.sparkSession), "findings")
     blob = F.sha2(F.coalesce(docs[text], F.lit("")), 256).alias("blob")
     return docs.select(docs[key].alias("doc_id"), blob).join(found, "blob").select("doc_id", *found.columns)
