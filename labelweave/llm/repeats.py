@@ -4,8 +4,10 @@ A suffix starts at each word that has ``window`` words of its document from ther
 Suffixes are partitioned by prefixes of variable length: counts of all suffixes by a two-word prefix decide how
 many words of prefix a group needs, so that every group fits in memory. A group is sorted by the hashes of its
 heads, in place of a suffix tree: equal heads are the repeats, and nothing deeper than a window is compared. All
-occurrences but the first (smallest id, then earliest start) are removed. Runs of removed windows are given as
-spans; a run can join repeats with different first places, so it need not be one maximal repeat.
+occurrences but the first (smallest id, then earliest start) are removed. Each head learns its first place, and
+windows that follow one another here and at their first places are put together: such a stretch is as long as it
+can be to both sides, and is given with the place where it occurs first. Stretches overlap where a window's first
+place is another one than its neighbour's.
 
 Three things keep the volume small, and lose nothing:
 
@@ -18,7 +20,8 @@ Three things keep the volume small, and lose nothing:
 Heads are told apart by 128-bit hashes of their words.
 
 Defined cases: a NULL text has no words; documents shorter than a window keep everything; NULL ids come last;
-rows with equal ids are separate documents in a fixed order; repeated rows lose all but the first.
+rows with equal ids are separate documents in a fixed order, but one place where stretches are put together;
+repeated rows lose all but the first.
 """
 
 from __future__ import annotations
@@ -142,14 +145,18 @@ class Block:
         low = np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
         return low[self.starts], inside
 
+    def offsets(self) -> np.ndarray:
+        """Place of each head in its document, in words."""
+        return self.starts - self.words.first[self.words.doc[self.starts]]
+
     def first_heads(self, heads: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        """Whether a head is the first of its kind in the block."""
+        """For each head the first of its kind in the block."""
         order = np.lexsort((np.arange(len(heads[0])), heads[1], heads[0]))
         one, two = heads[0][order], heads[1][order]
         new = np.ones(len(order), bool)
         new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
-        out = np.empty(len(order), bool)
-        out[order] = new
+        out = np.empty(len(order), np.int64)
+        out[order] = order[new][np.cumsum(new) - 1]
         return out
 
 
@@ -205,12 +212,12 @@ def _repeated_anchors(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator
     yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(parts, pa.binary())], ["block", "hashes"])
 
 
-_SUFFIXES = "group long, block long, one binary, two binary, doc binary, place binary"
+_SUFFIXES = "group long, block long, one binary, two binary, doc binary, place binary, offset binary"
 
 
 def _block_suffixes(window: int, plan: PrefixPlan):
     def run(key: tuple, table: pa.Table, back: pa.Table) -> pa.Table:
-        empty = [[], [], [], []]
+        empty = [[], [], [], [], []]
         names = np.zeros(0, np.int64)
         if table.num_rows and back.num_rows:
             block = Block(table, window)
@@ -218,81 +225,102 @@ def _block_suffixes(window: int, plan: PrefixPlan):
             anchors, _ = block.anchors()
             at = np.minimum(np.searchsorted(repeated, anchors), len(repeated) - 1)
             heads = block.heads()
-            leave = np.flatnonzero((repeated[at] == anchors) & block.first_heads(heads))
+            first = block.first_heads(heads) == np.arange(len(anchors))
+            leave = np.flatnonzero((repeated[at] == anchors) & first)
             starts = block.starts[leave]
             ids = block.doc_id.fill_null(_LAST).to_numpy()[block.words.doc[starts]] if len(starts) else np.zeros(0, np.int64)
             names, empty = _split(
                 plan.groups(block.hashes, starts) if len(starts) else np.zeros(0, np.int64),
-                heads[0][leave], heads[1][leave], ids, leave.astype(np.uint32),
+                heads[0][leave], heads[1][leave], ids, leave.astype(np.uint32), block.offsets()[leave].astype(np.uint32),
             )
         return pa.table(
             {
                 "group": pa.array(names, pa.int64()),
                 "block": pa.array([key[0].as_py()] * len(names), pa.int64()),
-                **{c: pa.array(p, pa.binary()) for c, p in zip(("one", "two", "doc", "place"), empty)},
+                **{c: pa.array(p, pa.binary()) for c, p in zip(("one", "two", "doc", "place", "offset"), empty)},
             }
         )
 
     return run
 
 
+_MARKS = "block long, places binary, first_doc binary, first_offset binary"
+
+
 def _subtree(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Suffixes whose head an earlier suffix has, back to their blocks."""
+    """Suffixes whose head an earlier suffix has, back to their blocks with the place of the first one."""
+    kinds = {"one": np.uint64, "two": np.uint64, "doc": np.int64, "place": np.uint32, "offset": np.uint32}
     parts: list[tuple[np.ndarray, ...]] = []
     for batch in batches:
-        for b, one, two, doc, place in zip(batch["block"].to_pylist(), *(batch[c] for c in ("one", "two", "doc", "place"))):
-            one = np.frombuffer(one.as_py(), np.uint64)
-            parts.append(
-                (
-                    one, np.frombuffer(two.as_py(), np.uint64), np.frombuffer(doc.as_py(), np.int64),
-                    np.full(len(one), b, np.int64), np.frombuffer(place.as_py(), np.uint32),
-                )
-            )
-    one, two, doc, block, place = (np.concatenate(x) for x in zip(*parts))
+        for b, *columns in zip(batch["block"].to_pylist(), *(batch[c] for c in kinds)):
+            read = [np.frombuffer(c.as_py(), kind) for c, kind in zip(columns, kinds.values())]
+            parts.append((np.full(len(read[0]), b, np.int64), *read))
+    block, one, two, doc, place, offset = (np.concatenate(x) for x in zip(*parts))
     order = np.lexsort((block, doc, two, one))
     later = np.zeros(len(order), bool)
     later[1:] = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
+    first = order[~later][np.cumsum(~later) - 1][later]
     order = order[later]
-    names, (places,) = _split(block[order], place[order])
-    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(places, pa.binary())], ["block", "places"])
+    names, parts_back = _split(block[order], place[order], doc[first], offset[first])
+    arrays = [pa.array(names, pa.int64()), *(pa.array(x, pa.binary()) for x in parts_back)]
+    yield pa.RecordBatch.from_arrays(arrays, ["block", "places", "first_doc", "first_offset"])
+
+
+_KEPT = (
+    "doc_id long, n_words long, n_removed long, kept_text string, "
+    "repeats array<struct<start:long,end:long,first_id:long,first_start:long>>"
+)
 
 
-_KEPT = "doc_id long, n_words long, n_removed long, kept_text string, repeats array<struct<start:long,end:long>>"
-_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+def _stretches(block: Block, removed: np.ndarray, doc: np.ndarray, offset: np.ndarray) -> pa.Array:
+    """Lists, one for each document, of runs of removed windows whose first places are a run as well."""
+    at = np.flatnonzero(removed)
+    own = block.words.doc[block.starts[at]]
+    here, doc, offset = block.offsets()[at], doc[at], offset[at]
+    goes_on = np.zeros(len(at), bool)
+    goes_on[1:] = (np.diff(own) == 0) & (np.diff(here) == 1) & (np.diff(offset) == 1) & (doc[1:] == doc[:-1])
+    opens = np.flatnonzero(~goes_on)
+    closes = np.append(opens[1:], len(at))[: len(opens)] - 1
+    first_id = pa.array(doc[opens], mask=doc[opens] == _LAST)
+    fields = [here[opens], here[closes] + block.window, first_id, offset[opens]]
+    spans = pa.StructArray.from_arrays(
+        [pa.array(x, pa.int64()) for x in fields], ["start", "end", "first_id", "first_start"]
+    )
+    bounds = np.searchsorted(own[opens], np.arange(len(block.doc_id) + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(bounds), spans)
 
 
 def _block_kept(window: int):
     def run(key: tuple, table: pa.Table, marks: pa.Table) -> pa.Table:
         block = Block(table, window)
-        removed = ~block.first_heads(block.heads())
-        for places in marks["places"]:
-            removed[np.frombuffer(places.as_py(), np.uint32)] = True
+        first = block.first_heads(block.heads())
+        removed = first != np.arange(len(first))
+        # First places: in the block, unless another block has an earlier one.
+        doc = block.doc_id.fill_null(_LAST).to_numpy()[block.words.doc[block.starts]]
+        offset = block.offsets()
+        for places, docs, offsets in zip(marks["places"], marks["first_doc"], marks["first_offset"]):
+            at = np.frombuffer(places.as_py(), np.uint32)
+            removed[at] = True
+            doc[at] = np.frombuffer(docs.as_py(), np.int64)
+            offset[at] = np.frombuffer(offsets.as_py(), np.uint32)
         gone = covered(block.starts[removed], window, len(block.hashes))
         words, data = block.words, block.texts.data.tobytes()
         bounds = list(zip(words.starts.tolist(), words.ends.tolist()))
-        # Runs of removed words that overlapping windows make; a run ends where its document does.
-        opens = gone & ~np.concatenate([[False], gone[:-1]]) | gone & np.isin(np.arange(len(gone)), words.first)
-        closes = gone & ~np.concatenate([gone[1:], [False]]) | gone & np.isin(np.arange(len(gone)) + 1, words.first)
-        opens, closes = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-        first_open = np.searchsorted(opens, words.first)
-        kept, spans = [], []
-        offsets = block.texts.offsets.tolist()
+        sums = np.concatenate([[0], np.cumsum(gone)])
+        n_removed = (sums[words.first[1:]] - sums[words.first[:-1]]).astype(np.int64)
+        kept, ends = [], block.texts.offsets.tolist()
         for d, (a, b) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist())):
-            x, y = first_open[d], first_open[d + 1]
-            if x == y:
-                kept.append(b" ".join(data[offsets[d] : offsets[d + 1]].split()))
-                spans.append([])
+            if not n_removed[d]:
+                kept.append(b" ".join(data[ends[d] : ends[d + 1]].split()))
             else:
                 kept.append(b" ".join([data[s:e] for (s, e), g in zip(bounds[a:b], gone[a:b].tolist()) if not g]))
-                spans.append([{"start": int(s) - a, "end": int(e) - a} for s, e in zip(opens[x:y], closes[x:y])])
-        sums = np.concatenate([[0], np.cumsum(gone)])
         return pa.table(
             {
                 "doc_id": block.doc_id,
                 "n_words": words.counts().astype(np.int64),
-                "n_removed": (sums[words.first[1:]] - sums[words.first[:-1]]).astype(np.int64),
+                "n_removed": n_removed,
                 "kept_text": pa.array(kept, pa.binary()).cast(pa.string()),
-                "repeats": pa.array(spans, _SPANS),
+                "repeats": _stretches(block, removed, doc[first], offset[first]),
             }
         )
 
@@ -310,8 +338,9 @@ def remove_repeats(
 ) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text, repeats) for each row.
 
-    ``repeats`` are the removed stretches as word places (end exclusive). The driver gets ``PREFIX_CLASSES``
-    counts from one pass that shuffles one row for each task.
+    ``repeats`` are the repeated stretches as word places (end exclusive), with the id of the document that has the
+    stretch first and its place there. The driver gets ``PREFIX_CLASSES`` counts from one pass that shuffles one row
+    for each task.
     """
     body = F.coalesce(docs[text], F.lit(""))
     counted = docs.select(body.alias("text")).mapInArrow(_count_batches(window), "counts array<long>, size long")
@@ -336,5 +365,5 @@ def remove_repeats(
     suffixes = (
         by_block.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(_block_suffixes(window, plan), _SUFFIXES)
     )
-    marks = suffixes.groupBy("group").applyInArrow(_subtree, "block long, places binary")
+    marks = suffixes.groupBy("group").applyInArrow(_subtree, _MARKS)
     return by_block.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_block_kept(window), _KEPT)

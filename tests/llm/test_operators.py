@@ -78,6 +78,24 @@ def plain_repeats(rows, window):
     return sorted(out)
 
 
+def plain_stretches(rows, window):
+    """Repeated windows that go on here and at their first places, put together."""
+    seen, out = {}, []
+    for i, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        w, last = words(text), None
+        for s in range(len(w) - window + 1):
+            seen_before = tuple(w[s : s + window]) in seen
+            first = seen.setdefault(tuple(w[s : s + window]), (i, s))
+            if not seen_before:
+                last = None
+            elif last and last[2] == s - 1 + window and (last[3], last[4] + last[2] - last[1] - window + 1) == first:
+                last[2] += 1
+            else:
+                last = [str(i), s, s + window, *first]
+                out.append(last)
+    return [tuple(x) for x in out]
+
+
 @pytest.mark.parametrize("window,block", [(20, 2 << 20), (3, 200), (9, 100)])
 def test_repeats(docs, window, block):
     rng = np.random.default_rng(window)
@@ -87,7 +105,9 @@ def test_repeats(docs, window, block):
     got = repeats.remove_repeats(docs(rows), window=window, block_bytes=block, group_suffixes=50)
     found = collect(got)
     assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_text"]) for r in found) == plain_repeats(rows, window)
-    assert all(sum(s["end"] - s["start"] for s in r["repeats"]) == r["n_removed"] for r in found)
+    assert all(len({w for s in r["repeats"] for w in range(s["start"], s["end"])}) == r["n_removed"] for r in found)
+    spans = [(str(r["doc_id"]), *s) for r in found for s in r["repeats"]]
+    assert sorted(spans, key=str) == sorted(plain_stretches(rows, window), key=str)
 
 
 def test_repeats_in_one_long_text(docs):
