@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelweave.functions.text import word_ngrams
 from labelweave.operators.lookup import broadcast_if_small, is_small
-from labelweave.scratch import settle
+from labelweave.scratch import python_rows, settle
 
+#: Counters of an order: what each task keeps, whatever the number of different terms.
+BUCKETS = 1 << 20
+#: Tokens that a task handles at a time; a longer document is taken alone.
+CHUNK_TOKENS = 1 << 20
+#: Documents that Spark hands to Python at a time.
+CHUNK_ROWS = 1_000
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 def term_statistics(df: DataFrame, tokens: str, orders: list[int]) -> DataFrame:
     """(n, term, occurrences, documents) for all n-gram orders in one pass.
@@ -89,6 +100,115 @@ def frequent_terms(df: DataFrame, tokens: str, orders: list[int], min_df: int, *
     return reduce(lambda left, right: left.unionByName(right), kept)
 
 
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Runs of rows with about ``CHUNK_TOKENS`` tokens, the hashes of their tokens and the row of each.
+
+    The first column holds lists of token hashes.
+    """
+    for batch in batches:
+        sizes = pc.list_value_length(batch.column(0)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, row = np.cumsum(sizes), 0
+        while row < len(sizes):
+            limit = ends[row] - sizes[row] + CHUNK_TOKENS
+            end = max(row + 1, int(np.searchsorted(ends, limit, side="right")))
+            part = batch.slice(row, end - row)
+            hashes = part.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            yield part, hashes, np.repeat(np.arange(end - row), sizes[row:end])
+            row = end
+
+
+def _grams(hashes: np.ndarray, row: np.ndarray, n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """First token and bucket of each n-gram of the rows; ``size`` buckets, a power of two."""
+    count = max(0, len(hashes) - n + 1)
+    mixed = hashes[:count]
+    for k in range(1, n):
+        mixed = mixed * _SPREAD + hashes[k : k + count]
+    buckets = ((mixed ^ (mixed >> np.uint64(32))) * _SPREAD) >> np.uint64(64 - (size - 1).bit_length())
+    at = np.flatnonzero(row[:count] == row[n - 1 : n - 1 + count])
+    return at, buckets[at].astype(np.int64)
+
+
+def _bucket_batches(orders: list[int], size: int):
+    """(n, bucket, occurrences) of all n-grams of a partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {n: np.zeros(size, np.int64) for n in orders}
+        for _, hashes, row in _chunks(batches):
+            for n in orders:
+                sums[n] += np.bincount(_grams(hashes, row, n, size)[1], minlength=size)
+        for n, counts in sums.items():
+            used = np.flatnonzero(counts)
+            for at in np.array_split(used, len(used) // 100_000 + 1):
+                columns = [pa.array(np.full(len(at), n, np.int32)), pa.array(at.astype(np.int32)), pa.array(counts[at])]
+                yield pa.RecordBatch.from_arrays(columns, ["n", "bucket", "occurrences"])
+
+    return run
+
+
+def _term_batches(open_buckets: dict[int, np.ndarray]):
+    """(n, term, occurrences, documents) of the n-grams whose bucket is marked, a row for each term and run of rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = {n: np.unpackbits(bits).astype(bool) for n, bits in open_buckets.items()}
+        for part, hashes, row in _chunks(batches):
+            tokens = part.column(1).flatten()
+            for n, marked in marks.items():
+                at, buckets = _grams(hashes, row, n, len(marked))
+                at = at[marked[buckets]]
+                words = [tokens.take(pa.array(at + k)) for k in range(n)]
+                grams = pc.binary_join_element_wise(*words, " ") if n > 1 else words[0]
+                given = grams.is_valid()  # an n-gram with a missing token is none
+                coded, at = grams.filter(given).dictionary_encode(), at[given.to_numpy(zero_copy_only=False)]
+                size, codes = len(coded.dictionary), coded.indices.to_numpy().astype(np.int64)
+                once = np.unique(row[at] * max(size, 1) + codes) % max(size, 1)
+                counts = [pa.array(np.bincount(c, minlength=size).astype(np.int64)) for c in (codes, once)]
+                columns = [pa.array(np.full(size, n, np.int32)), coded.dictionary, *counts]
+                yield pa.RecordBatch.from_arrays(columns, ["n", "term", "occurrences", "documents"])
+
+    return run
+
+
+def leading_terms(
+    df: DataFrame, tokens: str, orders: list[int], min_df: int, max_vocab: int, buckets: int = BUCKETS
+) -> DataFrame:
+    """Stored (n, term, occurrences, documents): of the n-grams that ``min_df`` documents have, the ``max_vocab``
+    most frequent of each order and their ties, with some others.
+
+    A first pass counts hash buckets, so memory and shuffle do not follow the number of different n-grams. A
+    bucket's count is no less than that of any n-gram in it; the second pass counts the n-grams of the
+    fullest buckets as they are written. If fewer than ``max_vocab`` of them reach the count below which buckets
+    were left out, the pass is run again for that order with a lower one, down to the count that ``min_df`` implies.
+    """
+    spark = df.sparkSession
+    rows = df.select(F.col(tokens).alias("tokens"))
+    hashed = rows.select(F.transform("tokens", lambda t: F.xxhash64(t)).alias("hashes"), "tokens")
+    with python_rows(spark, CHUNK_ROWS):
+        parts = hashed.select("hashes").mapInArrow(_bucket_batches(orders, buckets), "n int, bucket int, occurrences long")
+        filled = settle(parts.groupBy("n", "bucket").agg(F.sum("occurrences").alias("occurrences")), "buckets")
+    full = occurrence_cuts(filled, max_vocab)
+    least = max(1, min_df)
+    cuts, kept = {n: max(least, full.get(n, 0) // 2) for n in orders}, []
+    while cuts:
+        marks = {}
+        for n, cut in cuts.items():
+            chosen = filled.filter((F.col("n") == n) & (F.col("occurrences") >= cut)).select("bucket").toArrow()
+            marked = np.zeros(buckets, bool)
+            marked[chosen["bucket"].to_numpy()] = True
+            marks[n] = np.packbits(marked)
+        with python_rows(spark, CHUNK_ROWS):
+            parts = hashed.mapInArrow(_term_batches(marks), "n int, term string, occurrences long, documents long")
+            counted = parts.groupBy("n", "term").agg(
+                F.sum("occurrences").alias("occurrences"), F.sum("documents").alias("documents")
+            )
+            found = settle(counted.filter(F.col("documents") >= min_df), "terms")
+        reached = reduce(lambda a, b: a | b, [(F.col("n") == n) & (F.col("occurrences") >= cut) for n, cut in cuts.items()])
+        enough = {r["n"] for r in found.filter(reached).groupBy("n").count().collect() if r["count"] >= max_vocab}
+        done = [n for n, cut in cuts.items() if cut == least or n in enough]
+        kept.append(found.filter(F.col("n").isin(done)))
+        cuts = {n: max(least, cut // 4) for n, cut in cuts.items() if n not in done}
+    return reduce(DataFrame.unionByName, kept)
+
+
 def occurrence_cuts(counted: DataFrame, max_vocab: int) -> dict[int, int]:
     """Per order, an occurrence count that at least ``max_vocab`` terms reach (0 if fewer exist).
 
@@ -135,10 +255,9 @@ def vocabularies(
 ) -> DataFrame:
     """(n, term, occurrences, documents, index, idf) of every order.
 
-    Terms below ``min_df`` are gone before the counts are stored, so the top-k of each order reads
-    a small part of them.
+    Terms below ``min_df``, and most of those that are too rare for the top-k, are gone before the counts are stored.
     """
-    counted = frequent_terms(df, tokens, orders, min_df)
+    counted = leading_terms(df, tokens, sorted(set(orders)), min_df, max_vocab)
     cuts = occurrence_cuts(counted, max_vocab)
     tops = reduce(
         lambda left, right: left.unionByName(right),

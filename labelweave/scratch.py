@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,3 +33,16 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def python_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs run inside hand at most ``rows`` rows to Python at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    given = int(before)
+    spark.conf.set(name, str(min(rows, given) if given > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

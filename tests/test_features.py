@@ -280,3 +280,27 @@ def test_weights_of_all_orders(spark, sf_dir):
     rows = queries()["tfidf_long_all"](spark, sf_dir)
     assert {r.n for r in rows.select("n").distinct().collect()} == {1, 2, 3}
     assert all(len(r.term.split(" ")) == r.n for r in rows.filter("n > 1").limit(200).collect())
+
+
+def test_leading_terms_do_not_shuffle_the_rare_ones(spark):
+    """Of 30,000 pairs that many documents have, few more than the wanted ones are counted by name."""
+    rows = spark.range(30_000).select(
+        F.concat(F.lit("w"), F.pmod("id", F.lit(10_000)).cast("string")).alias("a"),
+        F.concat(F.lit("v"), F.col("id").cast("string")).alias("b"), F.lit("top").alias("c"), F.lit("pair").alias("d"),
+    )
+    df = rows.select(F.array("a", "b", "c", "d").alias("tokens"))
+    found = vocabulary.leading_terms(df, "tokens", [2], 1, 1).collect()
+    assert ("top pair", 30_000, 30_000) in [(r.term, r.occurrences, r.documents) for r in found] and len(found) < 100
+
+
+@pytest.mark.parametrize("buckets", [8, 1 << 20])
+def test_leading_terms_equal_counting_whatever_shares_a_bucket(spark, docs, buckets):
+    words = with_tokens(docs).select("tokens").limit(60)
+    odd = spark.createDataFrame([(None,), ([],), (["a", None, "b", "a"],), (["a"],), (["b", "a"],)], "tokens array<string>")
+    words = words.unionByName(odd).cache()
+    every = vocabulary.term_statistics(words, "tokens", [1, 2, 3]).filter("documents >= 2").collect()
+    for size in (40, 100_000):
+        got = vocabulary.leading_terms(words, "tokens", [1, 2, 3], 2, size, buckets).collect()
+        for n in (1, 2, 3):
+            best = lambda rows: sorted((-r.occurrences, r.term, r.documents) for r in rows if r.n == n)[:size]  # noqa: B023, E731
+            assert best(got) == best(every) and best(every)
