@@ -17,6 +17,9 @@ OTHER_DIGITS = (
 )
 # Everything that counts as white space, for use inside a character class.
 SPACE = r"\s\x1c-\x1f\x85\p{Z}"
+# A class is tried set by set, so those that settle most characters stand apart from the long ones.
+DIGIT = rf"[0-9[\x{{80}}-\x{{10ffff}}&&[\p{{Nd}}{OTHER_DIGITS}]]]"
+SPECIAL = rf"[^a-z\x20[\p{{L}}\p{{N}}{SPACE}]]"
 
 STYLE_FEATURES = [
     "word_count",
@@ -93,9 +96,8 @@ def style_measures(
     letters = F.length(F.array_join(tokens, ""))
     marks = F.regexp_count(text, F.lit("!")).cast("double")
     questions = F.regexp_count(text, F.lit(r"\?")).cast("double")
-    not_space = f"[^{SPACE}]"
-    # The look-behind lets a match start only where a white-space separated segment starts.
-    emphatic = rf"(?<!{not_space}){not_space}*?[!?][!?]{not_space}*"
+    # A match ends with its white-space separated segment, so a segment counts once.
+    emphatic = f"[!?][!?][^{SPACE}]*"
     if raw_tokens is None:
         all_caps, titles = F.lit(0.0), F.lit(0.0)
     else:
@@ -115,8 +117,8 @@ def style_measures(
         all_caps,
         _ratio(titles, words),
         _ratio(F.regexp_count(text, F.lit(r"\p{IsUppercase}")), chars),
-        F.regexp_count(text, F.lit(rf"[^\p{{L}}\p{{N}}{SPACE}]")).cast("double"),
+        F.regexp_count(text, F.lit(SPECIAL)).cast("double"),
         _ratio(marks + questions, words),
-        F.regexp_count(text, F.lit(rf"[\p{{Nd}}{OTHER_DIGITS}]")).cast("double"),
+        F.regexp_count(text, F.lit(DIGIT)).cast("double"),
     ]
     return [value.alias(name) for name, value in zip(STYLE_FEATURES, values)]

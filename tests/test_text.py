@@ -5,6 +5,7 @@ from pyspark.ml.feature import NGram, RegexTokenizer, StopWordsRemover
 from pyspark.sql import functions as F
 
 from labelweave.catalog.oracle import STOP_WORDS
+from labelweave.functions import text
 from labelweave.functions.text import (
     drop_stop_words,
     english_stop_words,
@@ -125,3 +126,20 @@ def test_character_classes_on_all_documents(spark, sf_dir):
         upper = round(r.uppercase_char_ratio * r.char_count)
         got = (r.multi_punct_count, upper, r.special_char_count, r.digit_count)
         assert got == python_style(r.text), r.doc_id
+
+
+def test_character_classes_hold_for_every_code_point(spark):
+    points = spark.range(0x110000).filter("id < 55296 or id > 57343")
+    points = points.select(F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')").alias("c"))
+    plain = {
+        text.DIGIT: rf"[\p{{Nd}}{text.OTHER_DIGITS}]",
+        text.SPECIAL: rf"[^\p{{L}}\p{{N}}{text.SPACE}]",
+    }
+    for made, want in plain.items():
+        assert points.filter(F.col("c").rlike(made) != F.col("c").rlike(want)).count() == 0
+
+
+def test_a_segment_with_several_runs_of_marks_counts_once(spark):
+    rows = spark.createDataFrame([("a!!b??c d! ?e !? !!!\u00a0x?!",)], "text string")
+    found = rows.select(*text.style_measures(F.col("text"), F.array())).first()
+    assert found["multi_punct_count"] == 4.0
