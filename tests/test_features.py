@@ -304,3 +304,15 @@ def test_leading_terms_equal_counting_whatever_shares_a_bucket(spark, docs, buck
         for n in (1, 2, 3):
             best = lambda rows: sorted((-r.occurrences, r.term, r.documents) for r in rows if r.n == n)[:size]  # noqa: B023, E731
             assert best(got) == best(every) and best(every)
+
+
+def test_rare_terms_that_share_buckets_cost_no_second_pass(spark, monkeypatch):
+    """About 60 rare terms share each bucket; the 100 terms that 40 documents have are still found in one pass."""
+    rows = spark.range(64_000).select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("a"))
+    often = spark.range(4_000).select(F.concat(F.lit("t"), F.pmod("id", F.lit(100)).cast("string")).alias("a"))
+    df = rows.unionByName(often).select(F.array("a").alias("tokens"))
+    passes, count = [], vocabulary._term_batches
+    monkeypatch.setattr(vocabulary, "_term_batches", lambda marks: passes.append(marks) or count(marks))
+    found = vocabulary.leading_terms(df, "tokens", [1], 2, 100, 1 << 10).collect()
+    assert {(r.term, r.occurrences, r.documents) for r in found} == {(f"t{i}", 40, 40) for i in range(100)}
+    assert len(passes) == 1
