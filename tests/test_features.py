@@ -316,3 +316,13 @@ def test_rare_terms_that_share_buckets_cost_no_second_pass(spark, monkeypatch):
     found = vocabulary.leading_terms(df, "tokens", [1], 2, 100, 1 << 10).collect()
     assert {(r.term, r.occurrences, r.documents) for r in found} == {(f"t{i}", 40, 40) for i in range(100)}
     assert len(passes) == 1
+
+
+def test_lexicon_sums_are_one_product(spark, model, docs):
+    """Only the deviations of the three VAD values are folded entry by entry."""
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    try:
+        plan = model.measure(docs)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert plan.count("aggregate(") == 3
