@@ -326,3 +326,23 @@ def test_lexicon_sums_are_one_product(spark, model, docs):
     finally:
         spark.conf.unset("spark.sql.debug.maxToStringFields")
     assert plan.count("aggregate(") == 3
+
+
+def test_terms_reach_the_jvm_without_a_call_for_each(spark, monkeypatch):
+    from pyspark.ml.feature import CountVectorizerModel
+
+    terms = ["a", "b c", "d|e", "\x01f", "é€𝄞", ""]
+    df = spark.createDataFrame([(["b c", "a", "", "a", "d|e", "\x01f", "é€𝄞", "other"],)], "g array<string>")
+    want = CountVectorizerModel.from_vocabulary(terms, inputCol="g", outputCol="v").transform(df).first().v
+    # Terms that hold every mark are handed over one by one.
+    marked = ["a\n", "b\x00", "c\x1f"]
+    assert vocabulary.term_counter(marked, "g", "v").vocabulary == marked
+    assert vocabulary.term_counter(["a\nb", ""], "g", "v").vocabulary == ["a\nb", ""]
+
+    def refuse(*_):
+        raise AssertionError("one call for each term")
+
+    monkeypatch.setattr(CountVectorizerModel, "_new_java_array", refuse)
+    counter = vocabulary.term_counter(terms, "g", "v")
+    assert counter.vocabulary == terms and counter.getVocabSize() == len(terms)
+    assert counter.transform(df).first().v == want
