@@ -20,6 +20,8 @@ SPACE = r"\s\x1c-\x1f\x85\p{Z}"
 # A class is tried set by set, so those that settle most characters stand apart from the long ones.
 DIGIT = rf"[0-9[\x{{80}}-\x{{10ffff}}&&[\p{{Nd}}{OTHER_DIGITS}]]]"
 SPECIAL = rf"[^a-z\x20[\p{{L}}\p{{N}}{SPACE}]]"
+# Most characters of a text; no measure of single characters counts them.
+PLAIN = r"[a-z\x20]+"
 
 STYLE_FEATURES = [
     "word_count",
@@ -98,8 +100,10 @@ def style_measures(
     words = F.greatest(F.size(tokens), F.lit(0)).cast("double")
     chars = F.length(text).cast("double")
     letters = F.length(F.array_join(tokens, ""))
-    marks = _occurrences(text, "!")
-    questions = _occurrences(text, "?")
+    # One pass leaves a small rest, so that the four character counts do not each read the whole text.
+    rest = F.regexp_replace(text, F.lit(PLAIN), F.lit(""))
+    marks = _occurrences(rest, "!")
+    questions = _occurrences(rest, "?")
     # A match ends with its white-space separated segment, so a segment counts once.
     emphatic = f"[!?][!?][^{SPACE}]*"
     if raw_tokens is None:
@@ -120,9 +124,9 @@ def style_measures(
         F.regexp_count(text, F.lit(emphatic)).cast("double"),
         all_caps,
         _ratio(titles, words),
-        _ratio(F.regexp_count(text, F.lit(r"\p{IsUppercase}")), chars),
-        F.regexp_count(text, F.lit(SPECIAL)).cast("double"),
+        _ratio(F.regexp_count(rest, F.lit(r"\p{IsUppercase}")), chars),
+        F.regexp_count(rest, F.lit(SPECIAL)).cast("double"),
         _ratio(marks + questions, words),
-        F.regexp_count(text, F.lit(DIGIT)).cast("double"),
+        F.regexp_count(rest, F.lit(DIGIT)).cast("double"),
     ]
     return [value.alias(name) for name, value in zip(STYLE_FEATURES, values)]

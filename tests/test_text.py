@@ -143,3 +143,16 @@ def test_a_segment_with_several_runs_of_marks_counts_once(spark):
     rows = spark.createDataFrame([("a!!b??c d! ?e !? !!!\u00a0x?!",)], "text string")
     found = rows.select(*text.style_measures(F.col("text"), F.array())).first()
     assert found["multi_punct_count"] == 4.0
+
+
+def test_whole_texts_are_searched_twice_only(spark):
+    """For runs of marks, and to leave the rest that all counts of characters read."""
+    from labelweave.functions.text import style_measures
+
+    rows = spark.createDataFrame([("Ab c!? ٣² Ωω É #! x", ["ab", "x"])], "text string, tokens array<string>")
+    measured = rows.select(*style_measures(F.col("text"), F.col("tokens")))
+    plan = measured._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_count(coalesce(text") == 1 and plan.count("regexp_count(regexp_replace(") == 3
+    got = measured.first()
+    assert (got.exclamation_count, got.question_count, got.multi_punct_count) == (2.0, 1.0, 1.0)
+    assert (got.uppercase_char_ratio, got.special_char_count, got.digit_count) == (3 / 19, 4.0, 2.0)
