@@ -4,6 +4,7 @@ from dataclasses import replace
 
 import numpy as np
 import pytest
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
@@ -449,3 +450,22 @@ def test_optional_reads(spark, tmp_path):
     assert artifacts.read_scores(spark, str(tmp_path / "none")) is None
     assert artifacts.read_fingerprint(spark, str(tmp_path / "none")) is None
     assert artifacts.fingerprint(FAST) != artifacts.fingerprint(replace(FAST, seed=1))
+
+
+def test_fits_do_not_carry_feature_names(spark, monkeypatch):
+    names = [f"named_feature_{i}" for i in range(40)]
+    plain = spark.createDataFrame([(i, float(i % 2), *[float(i % (k + 2)) for k in range(40)]) for i in range(60)], ["example_id", "a", *names])
+    df = VectorAssembler(inputCols=names, outputCol=train.FEATURES).transform(plain)
+    carried = []
+
+    class Estimator:
+        def fit(self, rows):
+            carried.append(bytes(spark._jvm.org.apache.spark.util.Utils.serialize(rows._jdf.rdd())))
+            assert rows.schema[train.FEATURES].metadata["ml_attr"] == {"num_attrs": 40}
+
+    monkeypatch.setattr(train, "_estimator", lambda *a: Estimator())
+    fit_family(df.select("example_id", train.FEATURES, "a"), ["a"], "linear_svm")
+    assert len(carried) == 1 and b"named_feature_7" not in carried[0]
+    binary = {"ml_attr": {"attrs": {"binary": [{"idx": 0, "name": "x"}]}, "num_attrs": 40}}
+    kept = train.unnamed(df.withMetadata(train.FEATURES, binary), train.FEATURES)
+    assert df.withMetadata(train.FEATURES, binary).select(kept).schema[0].metadata == binary
